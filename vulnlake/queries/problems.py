@@ -47,8 +47,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 P3_SQL = """
 WITH ordered AS (
-  SELECT source_code, snapshot_id, row_number() OVER (PARTITION BY source_code ORDER BY at, snapshot_id) AS place
-  FROM (SELECT source_code, snapshot_id, min(delivered_at) AS at FROM exploit_snapshots WHERE is_complete GROUP BY 1, 2)
+  SELECT source_code, snapshot_id, row_number() OVER (PARTITION BY source_code ORDER BY delivered, snapshot_id) AS place
+  FROM (SELECT source_code, snapshot_id, min(delivered_at) AS delivered FROM exploit_snapshots WHERE is_complete GROUP BY 1, 2)
 ), ranked AS (
   SELECT e.*, o.place, row_number() OVER (PARTITION BY e.source_code, o.place, e.source_key ORDER BY e.exploit_row DESC) AS rn
   FROM exploits e JOIN ordered o ON e.source_code = o.source_code AND e.snapshot_id = o.snapshot_id
