@@ -142,7 +142,7 @@ def _cuts(ordered: DataFrame) -> DataFrame:
         step = width // BINS
         inside = ordered.where("place is not null").select("source", "place", "n_tokens").join(state, "source")
         inside = inside.where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(width)))
-        binned = inside.groupBy("source", F.floor((F.col("place") - F.col("low")) / F.lit(step)).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("tokens"))
+        binned = inside.groupBy("source", F.floor((F.col("place") - F.col("low")) / F.lit(step)).cast("bigint").alias("bin")).agg(F.sum("n_tokens").alias("tokens"))
         before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         summed = binned.withColumn("before", before).join(state, "source")
         reached = summed.where(F.col("before") < F.col("left")).groupBy("source").agg(F.max(F.struct("bin", "before", "left", "low")).alias("s"))
