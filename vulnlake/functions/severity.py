@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.packages import lookup
@@ -88,36 +88,43 @@ def _weight(metrics: Column, name: str, weights: dict[str, str]) -> Column:
     return out
 
 
-def cvss_base_score(vector: Column, hint: Column) -> Column:
-    """base score of a CVSS 2.0, 3.0 or 3.1 vector, as a double.
+def with_cvss_score(df: DataFrame, vector: str, hint: str, name: str = "base_score") -> DataFrame:
+    """base score of a CVSS 2.0, 3.0 or 3.1 vector in a column, as a double.
 
     Null if the vector is malformed, repeats a metric, lacks one, has an unknown
     value, or is of another version. Decimal arithmetic; only the high powers of a
     changed scope are taken in double, whose error is far below the rounding.
+    Metrics and weights are columns of their own, so no expression is repeated.
     """
-    metrics = cvss_metrics(vector)
-    version = _version(vector, hint, metrics)
+    kept = df.columns
+    df = df.withColumn("__m", cvss_metrics(F.col(vector)))
+    df = df.withColumn("__v", _version(F.col(vector), F.col(hint), F.col("__m"))).withColumn("__s", F.try_element_at("__m", F.lit("S")))
+    m = F.col("__m")
+    weights = {f"__3{k}": _weight(m, k, V3_WEIGHTS[k]) for k in V3_WEIGHTS} | {f"__2{k}": _weight(m, k, V2_WEIGHTS[k]) for k in V2_WEIGHTS}
+    weights["__3PR"] = F.when(F.col("__s") == "C", _weight(m, "PR", V3_PRIVILEGES["C"])).when(F.col("__s") == "U", _weight(m, "PR", V3_PRIVILEGES["U"]))
+    df = df.withColumns(weights)
     one, dec = F.lit(1).cast("decimal(4,3)"), lambda x: F.lit(x).cast("decimal(6,3)")
-    scope = F.try_element_at(metrics, F.lit("S"))
-    c, i, a, av, ac, ui = (_weight(metrics, m, V3_WEIGHTS[m]) for m in ("C", "I", "A", "AV", "AC", "UI"))
-    pr = F.when(scope == "C", _weight(metrics, "PR", V3_PRIVILEGES["C"])).when(scope == "U", _weight(metrics, "PR", V3_PRIVILEGES["U"]))
-    sub = (one - (one - c) * (one - i) * (one - a)).cast("decimal(20,9)")
-    flat = (dec("6.42") * sub).cast("decimal(28,14)")
-    base = sub.cast("double")
-    steep = F.when(version == "3.0", F.pow(base - 0.02, F.lit(15))).otherwise(F.pow(base * 0.9731 - 0.02, F.lit(13)))
+    w = lambda k: F.col(f"__{k}")
+    df = df.withColumns(
+        {
+            "__sub": (one - (one - w("3C")) * (one - w("3I")) * (one - w("3A"))).cast("decimal(20,9)"),
+            "__exploit": (dec("8.22") * w("3AV") * w("3AC") * w("3PR") * w("3UI")).cast("decimal(28,14)"),
+            "__impact2": (dec("10.41") * (one - (one - w("2C")) * (one - w("2I")) * (one - w("2A")))).cast("decimal(24,12)"),
+            "__exploit2": (F.lit(20) * w("2AV") * w("2AC") * w("2AU")).cast("decimal(24,12)"),
+        }
+    )
+    base = F.col("__sub").cast("double")
+    steep = F.when(F.col("__v") == "3.0", F.pow(base - 0.02, F.lit(15))).otherwise(F.pow(base * 0.9731 - 0.02, F.lit(13)))
     bent = ((base - 0.029) * 7.52 - steep * 3.25).cast("decimal(28,14)")
-    impact = F.when(scope == "U", flat).when(scope == "C", bent)
-    exploit = (dec("8.22") * av * ac * pr * ui).cast("decimal(28,14)")
-    total = (impact + exploit).cast("decimal(28,14)")
-    raised = F.when(scope == "C", (dec("1.08") * total).cast("decimal(28,14)")).otherwise(total)
-    score3 = F.when(impact <= 0, F.lit(0.0)).otherwise((F.ceil(F.least(raised, F.lit(10).cast("decimal(28,14)")) * 10) / 10).cast("double"))
-    score3 = F.when(exploit.isNotNull(), score3)
-    c2, i2, a2, av2, ac2, au2 = (_weight(metrics, m, V2_WEIGHTS[m]) for m in ("C", "I", "A", "AV", "AC", "AU"))
-    impact2 = (dec("10.41") * (one - (one - c2) * (one - i2) * (one - a2))).cast("decimal(24,12)")
-    exploit2 = (F.lit(20) * av2 * ac2 * au2).cast("decimal(24,12)")
-    factor = F.when(impact2 == 0, F.lit("0").cast("decimal(4,3)")).otherwise(F.lit("1.176").cast("decimal(4,3)"))
-    score2 = F.round((((dec("0.6") * impact2 + dec("0.4") * exploit2 - dec("1.5")).cast("decimal(24,12)")) * factor).cast("decimal(28,14)"), 1).cast("double")
-    return F.when(version == "2.0", score2).when(version.isin("3.0", "3.1"), score3)
+    df = df.withColumn("__impact", F.when(F.col("__s") == "U", (dec("6.42") * F.col("__sub")).cast("decimal(28,14)")).when(F.col("__s") == "C", bent))
+    total = (F.col("__impact") + F.col("__exploit")).cast("decimal(28,14)")
+    raised = F.when(F.col("__s") == "C", (dec("1.08") * total).cast("decimal(28,14)")).otherwise(total)
+    score3 = F.when(F.col("__impact") <= 0, F.lit(0.0)).otherwise((F.ceil(F.least(raised, F.lit(10).cast("decimal(28,14)")) * 10) / 10).cast("double"))
+    factor = F.when(F.col("__impact2") == 0, F.lit("0").cast("decimal(4,3)")).otherwise(F.lit("1.176").cast("decimal(4,3)"))
+    plain2 = (dec("0.6") * F.col("__impact2") + dec("0.4") * F.col("__exploit2") - dec("1.5")).cast("decimal(24,12)")
+    score2 = F.round((plain2 * factor).cast("decimal(28,14)"), 1).cast("double")
+    scored = F.when(F.col("__v") == "2.0", score2).when(F.col("__v").isin("3.0", "3.1"), F.when(F.col("__exploit").isNotNull(), score3))
+    return df.withColumn("__score", scored).select(*kept, F.col("__score").alias(name))
 
 
 def severity_from_score(score: Column, version: Column) -> Column:
