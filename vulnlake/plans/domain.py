@@ -71,7 +71,7 @@ SELECT 'C-' || cast(p_partkey AS string) AS component_id, 'S-' || cast(p_partkey
 FROM {part}""",
 }
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def _needed(text: str, found: dict[str, None] | None = None) -> dict[str, None]:
