@@ -99,12 +99,16 @@ def identifier_rollup(identifiers: DataFrame, records: DataFrame) -> DataFrame:
     return kept.groupBy("vulnerability_key").agg(_json(F.collect_set("identifier")).alias("identifiers_json"))
 
 
-def catalog(records: DataFrame, identifiers: DataFrame, severity: DataFrame, components: DataFrame) -> DataFrame:
-    """One catalog row per key; every input is grouped before the joins."""
+def catalog(records: DataFrame, identifiers: DataFrame, severity: DataFrame, components: DataFrame, shown_in: DataFrame | None = None) -> DataFrame:
+    """One catalog row per key; every input is grouped before the joins.
+
+    ``shown_in`` has the records that decide whether an identifier is shown, where
+    ``records`` is only a part of them.
+    """
     base = record_rollup(records).withColumnRenamed("vulnerability_key", "primary_identifier").withColumnRenamed("vulnerability_id", "id")
     out = base.join(severity_rollup(severity).withColumnRenamed("vulnerability_key", "primary_identifier"), "primary_identifier", "left")
     out = out.join(affected_rollup(components).withColumnRenamed("vulnerability_id", "id"), "id", "left")
-    out = out.join(identifier_rollup(identifiers, records).withColumnRenamed("vulnerability_key", "primary_identifier"), "primary_identifier", "left")
+    out = out.join(identifier_rollup(identifiers, records if shown_in is None else shown_in).withColumnRenamed("vulnerability_key", "primary_identifier"), "primary_identifier", "left")
     return out.fillna({"affected_component_count": 0, "affected_component_names_json": "[]", "identifiers_json": "[]"})
 
 
@@ -198,6 +202,6 @@ def rebuild_catalog(previous: DataFrame, records: DataFrame, identifiers: DataFr
     changed = keys.select("vulnerability_key").distinct()
     part = lambda df: df.join(changed, "vulnerability_key", "left_semi")
     ids = part(records).select("vulnerability_id").distinct()
-    fresh = catalog(part(records), part(identifiers), part(severity), components.join(ids, "vulnerability_id", "left_semi"))
+    fresh = catalog(part(records), part(identifiers), part(severity), components.join(ids, "vulnerability_id", "left_semi"), records)
     kept = previous.join(changed.withColumnRenamed("vulnerability_key", "primary_identifier"), "primary_identifier", "left_anti")
     return kept.unionByName(fresh)
