@@ -29,10 +29,10 @@ FROM {v_identifiers}""",
 SELECT r.source_code, 'raw-' || cast(l.l_orderkey AS string) AS raw_index_id, r.vulnerability_key, r.source_record_id,
   CASE WHEN l.l_suppkey % 5 = 4 THEN 'cpe' ELSE 'package' END AS fact_type,
   CASE l.l_suppkey % 7 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' WHEN 2 THEN 'debian:11' WHEN 3 THEN 'debian:12' WHEN 4 THEN 'cargo' WHEN 5 THEN 'crates.io' ELSE 'cpe' END AS ecosystem,
-  CASE WHEN l.l_partkey % 13 = 0 THEN '' ELSE 'pkg-' || cast(l.l_partkey % 60 AS string) END AS package_name,
-  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/pkg-' || cast(l.l_partkey % 60 AS string) || '@1.' || cast(l.l_linenumber AS string) END AS purl,
-  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/pkg-' || cast(l.l_partkey % 60 AS string) END AS purl_without_version,
-  CASE WHEN l.l_suppkey % 5 = 4 THEN 'cpe:2.3:a:vendor' || cast(l.l_suppkey % 3 AS string) || ':pkg-' || cast(l.l_partkey % 60 AS string) || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
+  CASE WHEN l.l_partkey % 13 = 0 THEN '' ELSE 'pkg-' || cast(l.l_partkey AS string) END AS package_name,
+  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/pkg-' || cast(l.l_partkey AS string) || '@1.' || cast(l.l_linenumber AS string) END AS purl,
+  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/pkg-' || cast(l.l_partkey AS string) END AS purl_without_version,
+  CASE WHEN l.l_suppkey % 5 = 4 THEN 'cpe:2.3:a:vendor' || cast(l.l_suppkey % 3 AS string) || ':pkg-' || cast(l.l_partkey AS string) || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
   CASE l.l_linenumber % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '>= 0' WHEN 3 THEN 'all versions'
     ELSE '>= ' || cast(l.l_linenumber AS string) || '.0, < ' || cast(l.l_partkey % 9 + 1 AS string) || '.5' END AS version_range_raw,
   CASE WHEN l.l_linenumber % 2 = 0 THEN 'ECOSYSTEM' ELSE 'SEMVER' END AS range_type, l.l_returnflag <> 'R' AS vulnerable, l.l_linenumber AS line
@@ -61,12 +61,12 @@ SELECT 'CVE-2024-' || lpad(cast(event_id % 4000 AS string), 5, '0') AS vulnerabi
   CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE cast((event_id * 37) % 1000 AS double) / 1000 END AS score, cast((event_id * 91) % 1000 AS double) / 1000 AS percentile
 FROM {events} WHERE event_id % 4000 = event_id AND event_id % 4 <> 0""",
     "v_components": """
-SELECT 'C-' || cast(p_partkey AS string) AS component_id, 'S-' || cast(p_partkey % 5 AS string) AS sbom_id, 'pkg-' || cast(p_partkey % 60 AS string) AS name,
+SELECT 'C-' || cast(p_partkey AS string) AS component_id, 'S-' || cast(p_partkey % 5 AS string) AS sbom_id, 'pkg-' || cast(p_partkey AS string) AS name,
   cast(p_size % 9 + 1 AS string) || '.2' AS version,
-  CASE WHEN p_partkey % 4 = 0 THEN 'pkg:npm/pkg-' || cast(p_partkey % 60 AS string) END AS purl,
-  CASE WHEN p_partkey % 4 = 1 THEN 'cpe:2.3:a:vendor' || cast(p_partkey % 3 AS string) || ':pkg-' || cast(p_partkey % 60 AS string) || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
-  CASE WHEN p_partkey % 4 = 2 THEN 'pkg-' || cast(p_partkey % 60 AS string) END AS source_package_name,
-  CASE WHEN p_partkey % 4 = 1 THEN 'pkg-' || cast(p_partkey % 60 AS string) END AS cpe_product,
+  CASE WHEN p_partkey % 4 = 0 THEN 'pkg:npm/pkg-' || cast(p_partkey AS string) END AS purl,
+  CASE WHEN p_partkey % 4 = 1 THEN 'cpe:2.3:a:vendor' || cast(p_partkey % 3 AS string) || ':pkg-' || cast(p_partkey AS string) || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
+  CASE WHEN p_partkey % 4 = 2 THEN 'pkg-' || cast(p_partkey AS string) END AS source_package_name,
+  CASE WHEN p_partkey % 4 = 1 THEN 'pkg-' || cast(p_partkey AS string) END AS cpe_product,
   CASE p_partkey % 3 WHEN 0 THEN 'debian' WHEN 1 THEN 'npm' ELSE NULL END AS ecosystem
 FROM {part}""",
 }
