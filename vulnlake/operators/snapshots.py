@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vulnlake.session import blank_to_null
 
 #: Fan-out of the tree and its levels below the root: FAN ** LEVELS leaves.
-FAN, LEVELS = 16, 3
+FAN, LEVELS = 64, 2
 
 
 def complete_order(snapshots: DataFrame) -> DataFrame:
