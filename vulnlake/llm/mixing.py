@@ -29,8 +29,8 @@ from vulnlake.session import blank_to_null, reliable_checkpoint
 
 #: Folder of the public tokenizers' vocabularies.
 TOKENIZER_DIR = os.environ.get("VULNLAKE_TOKENIZERS", "/opt/tokenizers")
-#: Bins per round of the search for the cut, and rounds: 64**4 bins in all.
-BINS, ROUNDS = 64, 4
+#: Bins per round of the search for the cut, and rounds: 4096**2 bins in all.
+BINS, ROUNDS = 4096, 2
 _UNIT = float(1 << 52)
 
 
@@ -164,7 +164,7 @@ def select_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     ordered = _ordered(sizes, plan, seed)
     cuts = reliable_checkpoint(_cuts(ordered))
     placed = ordered.join(cuts, "source", "left")
-    # Inside the last bin (1 in 64**4 of a source's order) documents are taken one by one.
+    # Inside the last bin (1 in 4096**2 of a source's order) documents are taken one by one.
     inside = placed.where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     # A document over the end is taken if at least half of it is still wanted.
