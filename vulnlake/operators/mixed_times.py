@@ -26,7 +26,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vulnlake.functions.timestamps import readings
 
@@ -35,27 +34,23 @@ BLOCK = 1 << 16
 #: Cost of a change of notation, and of a step back in time.
 SWITCH, BACKWARD = 1.0, 2.5
 
-_READING = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("micros", T.LongType())])
-_READ = T.StructType(
-    [T.StructField("kind", T.IntegerType()), T.StructField("micros", T.LongType()), T.StructField("more", T.ArrayType(_READING))]
-)
+_VALUES = "field_name string, source_code string, row_no long, kind int, micros long, more array<struct<kind:int,micros:long>>"
 
 
-def _read(texts: pd.Series, orders: pd.Series, zones: pd.Series) -> pd.DataFrame:
-    kinds, micros, more = [], [], []
-    for text, order, zone in zip(texts, orders, zones):
-        found = readings(text, order, zone)
-        kinds.append(found[0][0] if found else None)
-        micros.append(found[0][1] if found else None)
-        more.append([{"kind": k, "micros": m} for k, m in found[1:]] if len(found) > 1 else None)
-    return pd.DataFrame({"kind": pd.array(kinds, dtype="Int32"), "micros": pd.array(micros, dtype="Int64"), "more": pd.Series(more, dtype=object)})
-
-
-@F.pandas_udf(_READ)
-def read_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """First reading inline, further ones in ``more`` (null for most values)."""
-    for texts, orders, zones in batches:
-        yield _read(texts, orders, zones)
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values that have a reading: the first inline, further ones in ``more`` (null
+    for most values). A table function, so that no filter runs it twice."""
+    for batch in batches:
+        kinds, micros, more, kept = [], [], [], []
+        for place, (text, order, zone) in enumerate(zip(batch["value"], batch["date_order"], batch["home_zone"])):
+            found = readings(text, order, zone)
+            if found:
+                kept.append(place)
+                kinds.append(found[0][0])
+                micros.append(found[0][1])
+                more.append([{"kind": k, "micros": m} for k, m in found[1:]] if len(found) > 1 else None)
+        rows = batch[["field_name", "source_code", "row_no"]].take(kept)
+        yield rows.assign(kind=np.array(kinds, dtype=np.int32), micros=np.array(micros, dtype=np.int64), more=pd.Series(more, dtype=object, index=rows.index))
 
 
 def _step(before: list[tuple[int, int]], after: list[tuple[int, int]]) -> np.ndarray:
@@ -198,10 +193,12 @@ def choose_readings(values: DataFrame) -> DataFrame:
 
     A chain is one field of one source (both not null). Gives ``field_name,
     source_code, row_no, utc_micros, reading_kind``, one row per input row. Rows
-    of equal number in one chain are taken in any order. The shuffle by block
-    feeds both the summaries and the final choice (the merge join keeps it).
+    of equal number in one chain are taken in any order. One shuffle by block
+    feeds both the summaries and the final choice: its keys are never null, so
+    both sides of the join read the same exchange.
     """
-    blocks = values.withColumn("block", F.floor(F.col("row_no") / F.lit(BLOCK)).cast("bigint"))
+    block = F.coalesce(F.floor(F.col("row_no") / F.lit(BLOCK)).cast("bigint"), F.lit(0).cast("bigint"))
+    blocks = values.withColumns({"block": block, **{c: F.coalesce(F.col(c), F.lit("")) for c in CHAIN}}).repartition(*CHAIN, "block")
     summaries = blocks.groupBy(*CHAIN, "block").applyInPandas(_summarise, _SUMMARY)
     ends = summaries.groupBy(*CHAIN).applyInPandas(_join_blocks, _ENDS)
     return blocks.join(ends.hint("merge"), [*CHAIN, "block"]).groupBy(*CHAIN, "block").applyInPandas(_choose, _CHOSEN)
@@ -214,14 +211,13 @@ def read_values(df: DataFrame, row_no: str, source: str, fields: list[str], regi
         F.coalesce(F.col(source), F.lit("")).alias("source_code"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields))).alias("v"),
     ).select("row_no", "source_code", "v.field_name", "v.value")
-    flat = flat.where(F.col("value").rlike("[0-9]"))
+    flat = flat.where(F.col("value").rlike("[0-9]") & F.col("row_no").isNotNull())
     if registry is None:
         zoned = flat.withColumns({"home_zone": F.lit(None).cast("string"), "date_order": F.lit(None).cast("string")})
     else:
         rules = registry.select("source_code", "home_zone", "date_order").dropDuplicates(["source_code"])
         zoned = flat.join(rules, "source_code", "left")
-    read = zoned.select("field_name", "source_code", "row_no", read_udf("value", "date_order", "home_zone").alias("r"))
-    return read.where("r.kind is not null").select("field_name", "source_code", "row_no", "r.kind", "r.micros", "r.more")
+    return zoned.select("field_name", "source_code", "row_no", "value", "date_order", "home_zone").mapInPandas(_read, _VALUES)
 
 
 def normalise_times(df: DataFrame, row_no: str, source: str, fields: list[str], registry: DataFrame | None, label: str) -> DataFrame:
@@ -229,8 +225,8 @@ def normalise_times(df: DataFrame, row_no: str, source: str, fields: list[str],
 
     ``registry(source_code, home_zone, date_order)`` settles zones and the order
     of numeric dates; a source it lacks (or null) is read as UTC with every order
-    possible, and Viterbi chooses. Null, blank and unreadable values give no
-    row; an empty input gives an empty result. Other columns of ``df`` are not
+    possible, and Viterbi chooses. Null, blank and unreadable values, and rows
+    without number, give no row; an empty input gives an empty result. Other columns of ``df`` are not
     carried. Gives ``table_name, row_no, field_name, source_code, utc_micros``.
     """
     chosen = choose_readings(read_values(df, row_no, source, fields, registry))
