@@ -38,6 +38,10 @@ def embedded_cve(value: Column) -> Column:
     return F.when(~norm.rlike(EXACT_CVE), F.nullif(F.regexp_extract(norm, EMBEDDED_CVE, 1), F.lit("")))
 
 
+def _starts(prefix: str):
+    return lambda value: value.startswith(prefix)
+
+
 def resolve_canonical(own: Column, identifiers: Column) -> Column:
     """the canonical identity of a record from its own id and direct aliases."""
     mine = normalize(own)
@@ -46,7 +50,7 @@ def resolve_canonical(own: Column, identifiers: Column) -> Column:
     cves = F.array_distinct(F.filter(F.transform(known, cve_of), lambda v: v.isNotNull()))
     owner = mine
     for prefix in reversed(OWNING_PREFIXES):
-        with_prefix = F.filter(known, lambda v, p=prefix: v.startswith(p))
+        with_prefix = F.filter(known, _starts(prefix))
         owner = (
             F.when(mine.startswith(prefix) & is_vulnerability_id(mine), mine)
             .when(F.size(with_prefix) == 1, F.element_at(with_prefix, 1))

@@ -49,7 +49,7 @@ NUGET_SEVERITIES = {"0": "low", "1": "moderate", "2": "high", "3": "critical"}
 
 
 def _parts(vector: Column) -> Column:
-    return F.filter(F.transform(F.split(vector, "/"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(vector, "/"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def cvss_metrics(vector: Column) -> Column:

@@ -201,7 +201,7 @@ def exploit_rows(rows: DataFrame) -> DataFrame:
     name no CVE dropped."""
     ids = extract_cves(F.concat_ws(" ", "codes", "description", "aliases"))
     verified = F.col("verified") == "1"
-    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), "[;,]"), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), "[;,]"), lambda t: F.trim(t)), lambda t: t != "")
     return rows.where(F.size(extract_cves(F.concat_ws(" ", "codes", "description"))) > 0).select(
         F.concat(F.lit("EDB-"), "id").alias("source_key"), ids.alias("identifiers"), F.coalesce(present(F.col("description")), F.concat(F.lit("Exploit "), "id")).alias("title"),
         artifact_type(F.lit("exploitdb"), F.col("file"), tags).alias("artifact_type"), exploit_class(F.concat_ws(" ", "type", "description", "tags")).alias("exploit_type"),
