@@ -33,7 +33,8 @@ EVIDENCE: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def spool_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Ready spool files as a stream of lines with their file."""
+    """Ready spool files as a stream of lines with their file, oldest file first;
+    within a batch, lines go by run and sequence."""
     stream = spark.readStream.option("pathGlobFilter", f"*{READY}").option("maxFilesPerTrigger", files_per_batch).text(folder)
     lines = stream.select("value", F.col("_metadata.file_path").alias("file"))
     name = F.regexp_extract("file", r"([^/]+)$", 1)
