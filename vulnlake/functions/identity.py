@@ -16,8 +16,8 @@ OWNING_PREFIXES = ["GHSA-", "BDSA-"]
 
 
 def normalize(value: Column) -> Column:
-    """trimmed and upper case."""
-    return F.upper(F.trim(value))
+    """trimmed of white space and upper case."""
+    return F.upper(F.trim(value, F.lit(" \t\r\n\f\u000b\u00a0\u3000")))
 
 
 def is_cve(value: Column) -> Column:

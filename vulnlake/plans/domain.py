@@ -14,13 +14,13 @@ from vulnlake.session import table
 
 VIEWS: dict[str, str] = {
     "v_records": """
-SELECT source_code, source_record_id, md5(upper(trim(vulnerability_key))) AS vulnerability_id, upper(trim(vulnerability_key)) AS vulnerability_key,
+SELECT source_code, source_record_id, md5(upper(trim(BOTH ' 	' FROM vulnerability_key))) AS vulnerability_id, upper(trim(BOTH ' 	' FROM vulnerability_key)) AS vulnerability_key,
   title, description, status, published_at, modified_at, source_url, record_hash, normalizer_version, record_no
-FROM {source_records} WHERE trim(vulnerability_key) <> '' AND trim(source_record_id) <> '' AND source_code IS NOT NULL""",
+FROM {source_records} WHERE trim(BOTH ' 	' FROM vulnerability_key) <> '' AND trim(source_record_id) <> '' AND source_code IS NOT NULL""",
     "v_identifiers": """
-SELECT source_code, source_record_id, md5(upper(trim(vulnerability_key))) AS vulnerability_id, upper(trim(vulnerability_key)) AS vulnerability_key,
-  upper(trim(identifier)) AS identifier
-FROM {source_record_identifiers} WHERE trim(vulnerability_key) <> '' AND trim(identifier) <> ''""",
+SELECT source_code, source_record_id, md5(upper(trim(BOTH ' 	' FROM vulnerability_key))) AS vulnerability_id, upper(trim(BOTH ' 	' FROM vulnerability_key)) AS vulnerability_key,
+  upper(trim(BOTH ' 	' FROM identifier)) AS identifier
+FROM {source_record_identifiers} WHERE trim(BOTH ' 	' FROM vulnerability_key) <> '' AND trim(BOTH ' 	' FROM identifier) <> ''""",
     "v_relations": """
 SELECT source_code, source_record_id, vulnerability_id, vulnerability_key,
   CASE WHEN substr(md5(identifier), 1, 1) < '8' THEN 'upstream' ELSE 'related' END AS relation_type, identifier AS related_identifier

@@ -219,7 +219,9 @@ WITH asked AS (SELECT DISTINCT identifier FROM {{v_identifiers}}), cat AS ({CATA
 SELECT t.identifier, cast(min(t.tier) AS BIGINT) AS tier, arg_min(c.primary_identifier, (t.tier, c.primary_identifier, c.id)) AS primary_identifier, arg_min(c.id, (t.tier, c.primary_identifier, c.id)) AS id
 FROM tiers t JOIN cat c ON t.id = c.id GROUP BY 1""",
     "j19_component_search": f"""
-SELECT id, range_type, display_name, ecosystem, 1 AS tier FROM ({COMPONENTS}) WHERE lower(display_name) = 'pkg-7' AND (lower(ecosystem) = 'debian' OR starts_with(lower(ecosystem), 'debian:'))""",
+WITH t AS (SELECT *, CASE WHEN lower(display_name) = 'pkg-7' AND (lower(ecosystem) = 'debian' OR starts_with(lower(ecosystem), 'debian:')) THEN 1
+  WHEN lower(concat_ws(chr(10), display_name, package_name, purl, cpe23_uri)) LIKE '%pkg-7%' THEN 2 END AS tier FROM ({COMPONENTS}))
+SELECT id, range_type, display_name, ecosystem, tier FROM t WHERE tier = (SELECT min(tier) FROM t)""",
     "t07_vulnerabilities_of": f"""
 SELECT c.primary_identifier, c.max_cvss_score, h.n_components FROM (SELECT vulnerability_id, count(*) AS n_components FROM ({COMPONENTS}) WHERE lower(display_name) = 'pkg-9' GROUP BY 1) h
 JOIN ({CATALOG}) c ON h.vulnerability_id = c.id ORDER BY coalesce(c.max_cvss_score, 0.0) DESC, lower(c.primary_identifier), c.id LIMIT 50""",

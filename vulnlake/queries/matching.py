@@ -77,9 +77,9 @@ _SQL = {
     "a17_sbom_totals": HEAD + "SELECT s.sbom_id, count(DISTINCT m.vulnerability_id) AS matched_count FROM s LEFT JOIN m ON s.sbom_id = m.sbom_id GROUP BY 1",
     "t06_findings": HEAD + f"SELECT x.component_id, c.primary_identifier, c.max_cvss_score FROM (SELECT DISTINCT sbom_id, component_id, vulnerability_id FROM m WHERE sbom_id = 'S-1') x JOIN ({CATALOG}) c ON x.vulnerability_id = c.id ORDER BY c.max_cvss_score DESC NULLS LAST, c.primary_identifier, x.component_id LIMIT 500",
     "f26_commit_like": "SELECT record_no, coalesce(regexp_full_match(lower(substr(record_hash, 1, 12)), '[0-9a-f]{7,40}'), false) AS is_commit FROM {v_records}",
-    "f01_normalize": "SELECT record_no, upper(trim(vulnerability_key)) AS norm, coalesce(regexp_full_match(upper(trim(vulnerability_key)), 'CVE-[0-9]{4}-[0-9]{4,}'), false) AS is_cve FROM {source_records}",
-    "f02_valid_identifiers": """SELECT DISTINCT identifier, coalesce(length(trim(identifier)) BETWEEN 4 AND 160 AND CASE WHEN starts_with(upper(trim(identifier)), 'CVE-') THEN regexp_full_match(upper(trim(identifier)), 'CVE-[0-9]{4}-[0-9]{4,}')
-  ELSE regexp_full_match(upper(trim(identifier)), '[A-Z][A-Z0-9_.]*-[A-Z0-9][A-Z0-9_.:-]*') END, false) AS is_valid FROM {source_record_identifiers}""",
+    "f01_normalize": "SELECT record_no, upper(trim(vulnerability_key, ' 	')) AS norm, coalesce(regexp_full_match(upper(trim(vulnerability_key, ' 	')), 'CVE-[0-9]{4}-[0-9]{4,}'), false) AS is_cve FROM {source_records}",
+    "f02_valid_identifiers": """SELECT DISTINCT identifier, coalesce(length(trim(identifier, ' 	')) BETWEEN 4 AND 160 AND CASE WHEN starts_with(upper(trim(identifier, ' 	')), 'CVE-') THEN regexp_full_match(upper(trim(identifier, ' 	')), 'CVE-[0-9]{4}-[0-9]{4,}')
+  ELSE regexp_full_match(upper(trim(identifier, ' 	')), '[A-Z][A-Z0-9_.]*-[A-Z0-9][A-Z0-9_.:-]*') END, false) AS is_valid FROM {source_record_identifiers}""",
     "f03_embedded_cve": "SELECT DISTINCT 'UBUNTU-' || identifier AS identifier, nullif(regexp_extract('UBUNTU-' || identifier, '^[A-Z][A-Z0-9_.-]*-(CVE-[0-9]{4}-[0-9]{4,})$', 1), '') AS cve FROM {v_identifiers}",
     "f05_vulnerability_guid": f"""SELECT vulnerability_key, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || '5' || substr(h, 14, 1) || '-' ||
   substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS guid FROM (SELECT DISTINCT vulnerability_key, {DIGEST} AS h FROM {{v_records}})""",
