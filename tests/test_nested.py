@@ -44,6 +44,16 @@ def test_empty_table(spark):
     assert rows.count() == 0 and "affectedfacts" in relations.tables
 
 
+def test_pruning_changes_nothing(spark, sf):
+    from vulnlake.operators.nested import CHILD_MEMBERS
+    from vulnlake.session import table
+
+    df = table(spark, sf, "evidence_records")
+    whole, _ = flatten(df, "evidence_no", "evidence_json")
+    pruned, _ = flatten(df, "evidence_no", "evidence_json", CHILD_MEMBERS)
+    assert sorted(map(tuple, child_values(whole, "n").collect())) == sorted(map(tuple, child_values(pruned, "n").collect()))
+
+
 def test_schema_graph_and_inlining(spark):
     df = spark.createDataFrame([(1, json.dumps({"one": {"two": 2}, "many": [{"a": 1}, {"a": 2}], "self": [{"self": [{"v": 1}]}], "p": {"shared": {"x": 1}}, "q": {"shared": {"x": 2}}}), "x")], SCHEMA)
     edges = [tuple(r) for r in schema_graph(df, "evidence_json").collect()]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,6 +63,7 @@ def parse(text: str | None) -> object | None:
     return None
 
 
+@lru_cache(maxsize=8192)
 def element_name(name: str) -> str:
     plain = name.replace("_", "").replace("-", "").lower()
     return SYNONYMS.get(plain, plain)
@@ -228,8 +230,12 @@ def shred(doc: int, value: object, tables: frozenset[str], rows: list[tuple]) ->
         stack.extend(reversed(frames))
 
 
-def shred_texts(df: DataFrame, doc: str, column: str, relations: Relations) -> DataFrame:
-    """All rows of all relations (``_ROWS``); null or unreadable texts give none."""
+def shred_texts(df: DataFrame, doc: str, column: str, relations: Relations, wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of all relations (``_ROWS``); null or unreadable texts give none.
+
+    ``wanted`` names the relations, and of each the members, to give (column
+    pruning); places and ids are the same with it.
+    """
     tables = relations.tables
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,19 +247,25 @@ def shred_texts(df: DataFrame, doc: str, column: str, relations: Relations) -> D
                 for each in _occurrences(value) if value is not None else ():
                     if isinstance(each, dict):
                         shred(int(key), each, tables, rows)
+            if wanted is not None:
+                rows = [(*r[:8], {m: r[8][m] for m in wanted[r[1]] if m in r[8]}) for r in rows if r[1] in wanted]
             yield pd.DataFrame(rows, columns=names).astype({"parent_id": "Int64", "tree_id": "Int64"})
 
     return df.where(F.col(column).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(column).alias("text")).mapInPandas(run, _ROWS)
 
 
-def flatten(df: DataFrame, doc: str, column: str) -> tuple[DataFrame, Relations]:
+def flatten(df: DataFrame, doc: str, column: str, wanted: dict[str, list[str]] | None = None) -> tuple[DataFrame, Relations]:
     """Shredded rows and the relations chosen for them.
 
     The schema graph (names only) is read by the driver to choose the relations.
     """
     edges = [(r["parent"], r["child"], r["most"], r["scalar"]) for r in schema_graph(df, column).toLocalIterator()]
     relations = relations_of(edges)
-    return shred_texts(df, doc, column, relations), relations
+    return shred_texts(df, doc, column, relations, wanted), relations
+
+
+#: Relations and members that ``child_values`` reads.
+CHILD_MEMBERS = {"affectedfacts": ["versionrange", "value"], "severityscores": ["vectorstring", "value"], "tags": ["name", "value"]}
 
 
 def child_values(rows: DataFrame, doc_name: str) -> DataFrame:

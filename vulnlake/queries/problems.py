@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.operators.consensus import best_representatives
 from vulnlake.operators.mixed_times import normalise_times
-from vulnlake.operators.nested import child_values, flatten
+from vulnlake.operators.nested import CHILD_MEMBERS, child_values, flatten
 from vulnlake.operators.packed import split_packed
 from vulnlake.operators.snapshots import diff_snapshots
 from vulnlake.session import table
@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = flatten(table(spark, sf_dir, "evidence_records"), "evidence_no", "evidence_json")
+    rows, _ = flatten(table(spark, sf_dir, "evidence_records"), "evidence_no", "evidence_json", CHILD_MEMBERS)
     return child_values(rows, "evidence_no")
 
 
