@@ -71,6 +71,10 @@ def element_name(name: str) -> str:
 
 def _members(value: object) -> list[tuple[str, object]]:
     """Members of an object in text order, wrappers opened."""
+    if isinstance(value, dict):
+        named = [(element_name(k), v) for k, v in value.items()]
+        if not any(name in WRAPPERS or not name for name, _ in named):
+            return named
     out: list[tuple[str, object]] = []
     stack: list[tuple[str, object]] = [("", value)]
     while stack:
@@ -84,15 +88,24 @@ def _members(value: object) -> list[tuple[str, object]]:
     return out
 
 
+def _wraps(item: dict) -> bool:
+    for name in item:
+        if element_name(name) not in WRAPPERS:
+            return False
+    return bool(item)
+
+
 def _occurrences(value: object) -> list[object]:
     """The items of a group: those of a list or wrapper, or the one written alone."""
+    if isinstance(value, list) and not any(isinstance(item, list) or (isinstance(item, dict) and _wraps(item)) for item in value):
+        return value
     out: list[object] = []
     stack = [value]
     while stack:
         item = stack.pop()
         if isinstance(item, list):
             stack.extend(reversed(item))
-        elif isinstance(item, dict) and item and all(element_name(k) in WRAPPERS for k in item):
+        elif isinstance(item, dict) and _wraps(item):
             stack.extend(reversed(item.values()))
         else:
             out.append(item)
@@ -101,7 +114,13 @@ def _occurrences(value: object) -> list[object]:
 
 def is_tree(value: object) -> bool:
     """Whether a group is written as a tree of nodes."""
-    return isinstance(value, dict) and bool(value) and all(element_name(k) in TREES or element_name(k) in WRAPPERS for k in value)
+    if not isinstance(value, dict):
+        return False
+    for name in value:
+        plain = element_name(name)
+        if plain not in TREES and plain not in WRAPPERS:
+            return False
+    return bool(value)
 
 
 def _edges(value: object, found: dict[tuple[str, str], list]) -> None:
@@ -183,6 +202,8 @@ def relations_of(edges: list[tuple[str, str, int, bool]]) -> Relations:
 def _text(value: object) -> str | None:
     if value is None or isinstance(value, str):
         return value
+    if isinstance(value, bool):
+        return "true" if value else "false"
     return json.dumps(value, ensure_ascii=False)
 
 
