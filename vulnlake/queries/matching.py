@@ -81,6 +81,11 @@ _SQL = {
     "f02_valid_identifiers": """SELECT DISTINCT identifier, coalesce(length(trim(identifier, ' 	')) BETWEEN 4 AND 160 AND CASE WHEN starts_with(upper(trim(identifier, ' 	')), 'CVE-') THEN regexp_full_match(upper(trim(identifier, ' 	')), 'CVE-[0-9]{4}-[0-9]{4,}')
   ELSE regexp_full_match(upper(trim(identifier, ' 	')), '[A-Z][A-Z0-9_.]*-[A-Z0-9][A-Z0-9_.:-]*') END, false) AS is_valid FROM {source_record_identifiers}""",
     "f03_embedded_cve": "SELECT DISTINCT 'UBUNTU-' || identifier AS identifier, nullif(regexp_extract('UBUNTU-' || identifier, '^[A-Z][A-Z0-9_.-]*-(CVE-[0-9]{4}-[0-9]{4,})$', 1), '') AS cve FROM {v_identifiers}",
+    "f04_resolve_canonical": """SELECT source_code, source_record_id, CASE WHEN len(c) = 1 THEN c[1] WHEN len(c) > 1 OR starts_with(own, 'GHSA-') THEN own WHEN len(g) = 1 THEN g[1] ELSE own END AS canonical
+FROM (SELECT source_code, source_record_id, upper(trim(source_record_id)) AS own, coalesce(list(DISTINCT identifier) FILTER (WHERE regexp_full_match(identifier, 'CVE-[0-9]{4}-[0-9]{4,}')), []) AS c,
+  coalesce(list(DISTINCT identifier) FILTER (WHERE starts_with(identifier, 'GHSA-')), []) AS g FROM {v_identifiers} GROUP BY 1, 2)""",
+    "f20_version_matches": """SELECT raw_index_id, line, CASE WHEN coalesce(version_range_raw, '') IN ('', 'all versions') THEN NULL WHEN version_range_raw = '>= 0' THEN true
+  ELSE line <= cast(regexp_extract(version_range_raw, '< ([0-9]+)[.]5', 1) AS INTEGER) END AS version_matched FROM {v_facts}""",
     "f05_vulnerability_guid": f"""SELECT vulnerability_key, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || '5' || substr(h, 14, 1) || '-' ||
   substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS guid FROM (SELECT DISTINCT vulnerability_key, {DIGEST} AS h FROM {{v_records}})""",
     "f06_identifier_type": """SELECT CASE WHEN split_part(identifier, '-', 1) IN ('CVE', 'GHSA', 'PYSEC', 'RUSTSEC', 'ASB', 'OSV', 'UBUNTU', 'CNNVD', 'CNVD', 'SSV', 'AVD', 'CT', 'NSFOCUS', 'CERT360') AND contains(identifier, '-')
