@@ -1,5 +1,8 @@
+import re
+
 import pytest
 
+from vulnlake.llm import residue
 from vulnlake.llm.residue import is_residue, placeholders, residue_documents
 
 RESIDUE = [
@@ -31,6 +34,22 @@ def test_content(text):
     assert not is_residue(text)
 
 
+@pytest.mark.parametrize("text", [
+    "You do not have access to view this advisory.", "Page non trouvée", "Accès refusé", "JS is disabled in your browser.", "JS must be enabled", "Scripting must be allowed.",
+    '{"message":"oops","code":500}', '{"status":404,"code":404}', '[{"detail":"oops","status":"503"}]', "Retry after 30 seconds", "Are you lost? JS is required.",
+    "aaaa bbbb cccc", "(foo) (bar) (baz)", "Lorem, ipsum, dolor, sit, amet, elit, sed.", "This is a test\tpage of ours.",
+])
+def test_no_word_is_needed_first(text):
+    assert is_residue(text)
+
+
+@pytest.mark.parametrize("pattern", [residue._ERROR_LINE, residue._NOTICE, residue._FILLER, residue._ERROR_OBJECT])
+def test_matching_at_the_begin_is_searching(pattern):
+    assert not pattern.flags & re.MULTILINE
+    assert not pattern.search("# " + "404 Not Found") and not pattern.search("# enable JavaScript") and not pattern.search("# sample text") and not pattern.search('# {"code":"x","status":404}')
+    assert str(re._parser.parse(pattern.pattern, pattern.flags)[0]) == "(AT, AT_BEGINNING)"
+
+
 def test_tutorial_density():
     tutorial = "Fields look like `{{ a_name }}`, `{{ b_name }}`, `{{ c_name }}` or `{{ d_name }}`; {{ e_name }} works too."
     assert placeholders(tutorial) == []

@@ -141,19 +141,8 @@ _PROSE = re.compile(
 # --------------------------------------------------------------------------
 
 _FIELDS = re.compile("|".join(GRAMMARS.values()))
-#: What every field, stock sentence, error page or notice contains: lines without are done.
+#: What every field contains: texts without are done.
 _FIELD_MARK = re.compile(r"[{<%@$]|\[\[|\[\s*[A-Z]|__[A-Z]|XXX")
-_FILLER_WORDS = (
-    "sample", "dummy", "placeholder", "filler", "test ", "example", " here", "to follow", "to come", "to be ", "will be added", "coming soon", "pending", "construction",
-    "tbd", "todo", "text", "platzhalter", "remplissage", "provisoire", "remplacer", "factice", "à venir", "relleno", "provisional", "hier steht", "segnaposto", "此处", "这里", "占位", "待补充", "示例",
-)
-_PAGE_WORDS = (
-    "found", "forbidden", "gateway", "unavailable", "internal", "time-out", "timeout", "time out", "timed out", "too many", "unauthor", "bad request", "unreachable",
-    "unexpected", "denied", "gone", "not allowed", "not acceptable", "conflict", "server", "bandwidth", "not implemented", "payment", "connection", "proxy", "rate limit",
-    "error", "traceback", "exception", "requested", "database", "permission", "authori", "maintenance", "offline", "closed", " down", "undergoing", "checking your",
-    "human", "went wrong", "try again", "retry", "be reached", "be displayed", "no such", "introuvable", "refusé", "rencontré", "erreur", "fehler", "verweigert", "encontrad",
-    "denegado", "looking for", "页面", "服务", "拒绝", "无法", "系统", "您", "script", "脚本", "client-side", " js", "nicht gefunden",
-)
 _FENCE = re.compile(r"^(?:```|~~~).*?^(?:```|~~~)[^\n]*$", re.DOTALL | re.MULTILINE)
 _SPAN = re.compile(r"`[^`\n]{1,200}`|<(code|pre)>.{0,2000}?</\1>", re.DOTALL | re.IGNORECASE)
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“\n]{1,200}“|«[^»\n]{1,200}»|「[^」\n]{1,200}」")
@@ -202,43 +191,35 @@ def _is_field(name: str) -> bool:
 def has_filler(text: str) -> bool:
     """Dummy text: running Latin, a few words repeated over a line, stock sentences."""
     for line in _BREAK.split(_masked(text, _FENCE)):
-        low = line.lower()
-        raw = low.split()
-        if len(raw) >= 3 and (len(set(raw)) <= 0.75 * len(raw) or not DUMMY.isdisjoint(raw) or len(LATIN.intersection(raw)) >= 4):
-            words = [w for w in (p.strip(".,;:!?()[]\"'*#>|-") for p in raw) if w]
-            if len(words) >= 3 and all(w in DUMMY or len(set(w)) == 1 and len(w) > 1 for w in words):
+        words = [w for w in (p.strip(".,;:!?()[]\"'*#>|-") for p in line.lower().split()) if w]
+        if len(words) >= 3 and all(w in DUMMY or len(set(w)) == 1 and len(w) > 1 for w in words):
+            return True
+        if len(words) >= 7:
+            distinct = len(set(words))
+            if (distinct <= 4 or (len(words) >= 10 and distinct <= 0.4 * len(words) and distinct <= 8)) and sum(1 for w in words if w.isalpha()) * 3 >= len(words):
                 return True
-            if len(words) >= 7:
-                letters = sum(1 for w in words if w.isalpha())
-                distinct = len(set(words))
-                if letters * 3 >= len(words) and (distinct <= 4 or (len(words) >= 10 and distinct <= 0.4 * len(words) and distinct <= 8)):
-                    return True
+            if not LATIN.isdisjoint(words[6::7]):  # where any run of 7 has a word
                 run = best = 0
                 for word in words:
                     run = run + 1 if word in LATIN else 0
                     best = max(best, run)
                 if best >= 7:
                     return True
-        if not any(word in low for word in _FILLER_WORDS):
-            continue
         for sentence in _SENTENCE.split(_masked(line, _QUOTED)):
             sentence = _LEAD.sub("", _TAGS.sub(" ", sentence)).strip()
-            if sentence and _FILLER.search(sentence) and not _PROSE.search(sentence):
+            if sentence and _FILLER.match(sentence) and not _PROSE.search(sentence):
                 return True
     return False
 
 
 def _is_error_object(line: str) -> bool:
-    return len(line) < 2000 and bool(_ERROR_OBJECT.search(_TAGS.sub(" ", line))) and not _SPAN.search(line)
+    return len(line) < 2000 and bool(_ERROR_OBJECT.match(_TAGS.sub(" ", line))) and not _SPAN.search(line)
 
 
 def has_notice_or_error(text: str) -> bool:
     """An error page, or a notice about scripts, where content belongs."""
     bare = _masked(text, _FENCE)
     for line in _BREAK.split(bare):
-        low = line.lower()
-        if not any(word in low for word in _PAGE_WORDS):
-            continue
         if "{" in line or "[" in line:
             if _is_error_object(line):
                 return True
@@ -246,14 +227,11 @@ def has_notice_or_error(text: str) -> bool:
         plain = _TAGS.sub("\n", spoken)
         for piece in plain.split("\n"):
             piece = _LEAD.sub("", piece).strip()
-            if piece and _ERROR_LINE.search(piece) and not _PROSE.search(piece):
+            if piece and _ERROR_LINE.match(piece) and not _PROSE.search(piece):
                 return True
             for sentence in _SENTENCE.split(piece):
                 sentence = sentence.strip()
-                low = sentence.lower()
-                if not any(word in low for word in _PAGE_WORDS):
-                    continue
-                if (_NOTICE.search(sentence) or _ERROR_LINE.search(sentence)) and not _PROSE.search(sentence):
+                if sentence and (_NOTICE.match(sentence) or _ERROR_LINE.match(sentence)) and not _PROSE.search(sentence):
                     return True
     return False
 
