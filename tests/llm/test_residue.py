@@ -50,6 +50,22 @@ def test_matching_at_the_begin_is_searching(pattern):
     assert str(re._parser.parse(pattern.pattern, pattern.flags)[0]) == "(AT, AT_BEGINNING)"
 
 
+@pytest.mark.parametrize("name", ["title", "body", "head", "user", "username", "file", "path", "line", "hostname", "lang", "input", "config"])
+@pytest.mark.parametrize("frame", ["Dear {{%s}}, hello.", "See {{ %s }} now.", "See [[%s]] now.", "See @@%s@@ now.", "See #{%s} now.", "See <<%s>> now.", "{%% block %s %%}", "See <%%= %s %%> now.", "Set <your %s> now."])
+def test_common_names_are_fields(frame, name):
+    assert is_residue(frame % name) and is_residue(frame % name.upper())
+
+
+@pytest.mark.parametrize("text", ["See ${title} now.", "See %TITLE% now.", "See $BODY$ now.", "See __TITLE__ now.", "See <PATH> now.", "See [TITLE] now."])
+def test_names_are_left_out_by_grammar(text):
+    assert is_residue(text)
+
+
+@pytest.mark.parametrize("text", ["Look below ${HOME} first.", "Look below %APPDATA% first.", "Look below $PATH$ first.", "The tag <TITLE> is open.", "In __FILE__ and __LINE__ it fails.", "Below %APP_ROOT% it fails.", "#0 {main}", "[CODE] x [/CODE]", "[DEBUG] x", "Send {{constructor.name}} first."])
+def test_names_of_systems_are_no_fields(text):
+    assert not is_residue(text)
+
+
 def test_tutorial_density():
     tutorial = "Fields look like `{{ a_name }}`, `{{ b_name }}`, `{{ c_name }}` or `{{ d_name }}`; {{ e_name }} works too."
     assert placeholders(tutorial) == []

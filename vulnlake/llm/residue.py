@@ -49,13 +49,19 @@ GRAMMARS = {
     "money": rf"(?<![\w$])\$({_UPPER})\$(?![\w$])",
     "brace": r"(?<![\w{$#%\"':\\])\{([a-z][A-Za-z]*(?:[_.][A-Za-z]+)*)\}(?![\w}\"':])",
 }
-#: Names that are variables of systems or code, not fields of a text.
+_ENVIRONMENT = frozenset(
+    """home path user username temp tmp app_root appdata localappdata userprofile systemroot windir programfiles programdata homepath comspec pwd shell lang hostname
+    env_user""".split()
+)
+_MARKUP = frozenset("html div span table tr td th br hr p b i a ul ol li h1 h2 h3 pre code img".split())  # in forum and wiki markup too
+_TAG_NAMES = _MARKUP | frozenset("body head title script style form input cdata".split())
+_CODE_NAMES = frozenset("file line func function init main name_space debug".split())
+_TRACES = frozenset("main function func init debug self this".split())
+_EXPRESSIONS = frozenset("self this constructor.name".split())
+#: Names that are no fields of a text, by the grammar in which they mean something else.
 NOT_FIELDS = {
-    "home", "path", "user", "username", "temp", "tmp", "app root", "appdata", "localappdata", "userprofile", "systemroot",
-    "windir", "programfiles", "programdata", "homepath", "comspec", "pwd", "shell", "lang", "hostname", "file", "line",
-    "func", "function", "init", "main", "name space", "config", "constructor.name", "debug", "self", "this", "env user",
-    "html", "body", "head", "title", "script", "style", "div", "span", "table", "tr", "td", "th", "br", "hr", "p", "b", "i", "a",
-    "ul", "ol", "li", "h1", "h2", "h3", "pre", "code", "img", "form", "input", "cdata",
+    "dollar": _ENVIRONMENT | _EXPRESSIONS, "percent": _ENVIRONMENT, "money": _ENVIRONMENT, "angle": _TAG_NAMES, "dunder": _CODE_NAMES,
+    "bracket": _MARKUP | _TRACES, "brace": _MARKUP | _TRACES, "mustache": _EXPRESSIONS, "hash": _EXPRESSIONS, "erb": _EXPRESSIONS,
 }
 #: Sentences that talk about syntax or about such texts.
 _SPEAKS = re.compile(
@@ -141,6 +147,7 @@ _PROSE = re.compile(
 # --------------------------------------------------------------------------
 
 _FIELDS = re.compile("|".join(GRAMMARS.values()))
+_GRAMMAR_OF = dict(enumerate(GRAMMARS, 1))
 #: What every field contains: texts without are done.
 _FIELD_MARK = re.compile(r"[{<%@$]|\[\[|\[\s*[A-Z]|__[A-Z]|XXX")
 _FENCE = re.compile(r"^(?:```|~~~).*?^(?:```|~~~)[^\n]*$", re.DOTALL | re.MULTILINE)
@@ -174,7 +181,7 @@ def placeholders(text: str) -> list[str]:
             if _SPEAKS.search(_FIELDS.sub(" ", sentence)):
                 continue
             for match in _FIELDS.finditer(sentence):
-                if _is_field(match.group(match.lastindex)):
+                if _is_field(_GRAMMAR_OF[match.lastindex], match.group(match.lastindex)):
                     here.append(match.group(0))
         found.extend(here)
         frames += bool(here) and (len(here) >= 2 or not re.search(r"\w{2}", _FIELDS.sub("", line)))
@@ -183,9 +190,9 @@ def placeholders(text: str) -> list[str]:
     return found
 
 
-def _is_field(name: str) -> bool:
-    plain = re.sub(r"[_\-\s]+", " ", name).strip().lower()
-    return len(plain) > 1 and plain not in NOT_FIELDS
+def _is_field(grammar: str, name: str) -> bool:
+    plain = re.sub(r"[_\-\s]+", "_", name).strip("_").lower()
+    return len(plain) > 1 and plain not in NOT_FIELDS.get(grammar, ())
 
 
 def has_filler(text: str) -> bool:
