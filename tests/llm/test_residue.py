@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -66,6 +67,38 @@ def test_names_of_systems_are_no_fields(text):
     assert not is_residue(text)
 
 
+LONG = "".join(f"part{n} " for n in range(1000))
+
+
+@pytest.mark.parametrize("text", [
+    '{"error":{"trace":"' + LONG + '","code":503}}', '{"trace":"' + LONG + '","error":"Not Found"}', '{"path":"' + "/a" * 150 + '","status":404,"code":404}',
+    '{"message":"oops","stack":["' + LONG + '"],"status":"500"}', '{"message":"no `x` here","detail":"' + LONG + '","code":404}', '<div style="' + LONG + '">404 Not Found</div>',
+])
+def test_error_page_of_any_length(text):
+    assert is_residue(text)
+
+
+@pytest.mark.parametrize("text", [
+    "<pre>" + LONG + "{{ name }}</pre>", "<pre>\n" + "word\n" * 1000 + "404 Not Found\n</pre>", "<code>" + LONG + "Dear {{ name }},</code> is shown.", "Here `" + LONG + "{{ name }}` is shown.",
+    'Here "' + LONG + '{{ name }}" is shown.', "Here “" + LONG + ". 404 Not Found. ” is shown.", "Hier „" + LONG + "{{ name }}“.", "Ici «" + LONG + "{{ name }}».", "这里「" + LONG + "{{ name }}」。",
+    '{"name":"x","message":"' + LONG + '","conflict":{"a":"<1"},"status":200}', '{"status":"final","notes":"' + LONG + '"}',
+])
+def test_code_and_quotes_of_any_length(text):
+    assert not is_residue(text)
+
+
+@pytest.mark.parametrize("text", ["Run ` first.\n404 Not Found\nThen ` again.", "Run ` first.\r404 Not Found\rThen ` again.", "A \" here.\nDear {{ name }},\nand \" there.", "See <code> and {{ name }} here.", "<pre>x</code> 1\n404 Not Found"])
+def test_marks_without_end_hide_nothing(text):
+    assert is_residue(text)
+
+
+@pytest.mark.parametrize("mark", ["“", "«", '"', "`", "<code>", "<pre>", "</pre>", "<p ", '{"code":', '["not found', "「x"])
+def test_marks_without_end_take_linear_time(mark):
+    began = time.process_time()
+    is_residue("{" + mark * 40_000 + " {{ name }}")
+    assert time.process_time() - began < 10
+
+
 def test_tutorial_density():
     tutorial = "Fields look like `{{ a_name }}`, `{{ b_name }}`, `{{ c_name }}` or `{{ d_name }}`; {{ e_name }} works too."
     assert placeholders(tutorial) == []

@@ -118,10 +118,9 @@ _ERROR_LINE = re.compile(
     r"|^(?:页面不存在|页面未找到|找不到(?:该)?页面|服务器(?:内部)?错误|拒绝访问|服务(?:暂时)?不可用|无法访问此网站)",
     re.IGNORECASE,
 )
-_ERROR_OBJECT = re.compile(
-    rf"^\s*[\[{{].{{0,200}}[\"'](?:error|errors|message|detail|status|code)[\"']\s*:.{{0,200}}(?:[\"']\s*{_FAULTS}|[\"']?(?:code|status)[\"']?\s*:\s*[\"']?[45]\d\d\b)",
-    re.IGNORECASE,
-)
+#: An error object up to a key of it, and what makes it one, anywhere after: a fault that is no key of a list or object, or a code.
+_ERROR_OBJECT = re.compile(r"^\s*[\[{].*?[\"'](?:error|errors|message|detail|status|code)[\"']\s*:", re.IGNORECASE)
+_ERROR_VALUE = re.compile(rf"[\"']\s*{_FAULTS}(?!\w*[\"']\s*:\s*[\[{{])|[\"']?(?:code|status)[\"']?\s*:\s*[\"']?[45]\d\d\b", re.IGNORECASE)
 _JS = r"(?:java\s?script|scripts?|scripting|js|client-side (?:code|scripts?|scripting))"
 _NOTICE = re.compile(
     rf"^(?:please[ ,]+|you (?:need|have) to |you must |you should |kindly )?(?:re-?)?(?:enable|activate|turn on|switch on|allow) (?:the use of )?{_JS}\b(?! (?:injection|engine|file|console|code))"
@@ -151,31 +150,55 @@ _GRAMMAR_OF = dict(enumerate(GRAMMARS, 1))
 #: What every field contains: texts without are done.
 _FIELD_MARK = re.compile(r"[{<%@$]|\[\[|\[\s*[A-Z]|__[A-Z]|XXX")
 _FENCE = re.compile(r"^(?:```|~~~).*?^(?:```|~~~)[^\n]*$", re.DOTALL | re.MULTILINE)
-_SPAN = re.compile(r"`[^`\n]{1,200}`|<(code|pre)>.{0,2000}?</\1>", re.DOTALL | re.IGNORECASE)
-_QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“\n]{1,200}“|«[^»\n]{1,200}»|「[^」\n]{1,200}」")
-_TAGS = re.compile(r"</?(?:html|body|head|title|h[1-6]|p|div|span|center|hr|br|b|i|em|strong|pre|noscript|main|section|article|ul|ol|li|a|meta|link|!doctype)\b[^<>\n]{0,200}>", re.IGNORECASE)
+#: Marks that open what is shown, and what closes each or, as all but tags close in their line, ends the search.
+_SPAN = re.compile(r"`|<code>|<pre>", re.IGNORECASE), {tag: re.compile(tag.replace("<", "</"), re.IGNORECASE) for tag in ("<code>", "<pre>")} | {"`": re.compile(r"[`\r\n\v\f\x85\u2028\u2029]")}
+_QUOTED = re.compile("[\"“„«「]"), {a: re.compile(rf"[{b}\r\n\v\f\x85\u2028\u2029]") for a, b in ('""', "“”", "„“", "«»", "「」")}
+_TAGS = re.compile(r"</?(?:html|body|head|title|h[1-6]|p|div|span|center|hr|br|b|i|em|strong|pre|noscript|main|section|article|ul|ol|li|a|meta|link|!doctype)\b[^<>\n]*>", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _LEAD = re.compile(r"^[\s>*#\-–—•|=]+(?:\d{1,2}:\d{2}\s+)?|^(?:[QA]|Re|Note|Hinweis)\s*:\s*")
 _BREAK = re.compile(r"[\r\n\v\f\x85  ]+")
 
 
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
 def _masked(text: str, pattern: re.Pattern) -> str:
     """Text with what the pattern matches blanked out, places kept."""
-    return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m.group(0)), text)
+    return pattern.sub(lambda m: _blank(m.group(0)), text)
+
+
+def _unshown(text: str, opening: re.Pattern, closing: dict[str, re.Pattern]) -> str:
+    """Text with what stands between marks blanked out, however long, places kept.
+
+    Linear: where a mark is not closed, the same mark is not tried again.
+    """
+    parts, done, at, unclosed = [], 0, 0, {}
+    while match := opening.search(text, at):
+        mark, at = match.group(0).lower(), match.end()
+        if at <= unclosed.get(mark, -1):
+            continue
+        end = closing[mark].search(text, at)
+        if end is None or end.group(0).isspace():
+            unclosed[mark] = end.start() if end else len(text)
+        elif end.start() > at or len(mark) > 1:
+            parts += text[done : match.start()], _blank(text[match.start() : end.end()])
+            done = at = end.end()
+    return "".join([*parts, text[done:]]) if parts else text
 
 
 def placeholders(text: str) -> list[str]:
     """Unfilled template fields, discounting code, quotes and talk about syntax."""
     if not _FIELD_MARK.search(text) or not _FIELDS.search(text):
         return []
-    bare = _masked(_masked(text, _FENCE), _SPAN)
+    bare = _unshown(_masked(text, _FENCE), *_SPAN)
     everywhere = len(_FIELDS.findall(text))
     found: list[str] = []
     frames = 0
     for line in _BREAK.split(bare):
         if not _FIELDS.search(line):
             continue
-        unquoted = _masked(line, _QUOTED)
+        unquoted = _unshown(line, *_QUOTED)
         here = []
         for sentence in _SENTENCE.split(unquoted):
             if _SPEAKS.search(_FIELDS.sub(" ", sentence)):
@@ -212,7 +235,7 @@ def has_filler(text: str) -> bool:
                     best = max(best, run)
                 if best >= 7:
                     return True
-        for sentence in _SENTENCE.split(_masked(line, _QUOTED)):
+        for sentence in _SENTENCE.split(_unshown(line, *_QUOTED)):
             sentence = _LEAD.sub("", _TAGS.sub(" ", sentence)).strip()
             if sentence and _FILLER.match(sentence) and not _PROSE.search(sentence):
                 return True
@@ -220,18 +243,18 @@ def has_filler(text: str) -> bool:
 
 
 def _is_error_object(line: str) -> bool:
-    return len(line) < 2000 and bool(_ERROR_OBJECT.match(_TAGS.sub(" ", line))) and not _SPAN.search(line)
+    line = _TAGS.sub(" ", line)
+    begin = _ERROR_OBJECT.match(line)
+    return bool(begin and _ERROR_VALUE.search(line, begin.end()))
 
 
 def has_notice_or_error(text: str) -> bool:
     """An error page, or a notice about scripts, where content belongs."""
-    bare = _masked(text, _FENCE)
+    bare = _unshown(_masked(text, _FENCE), *_SPAN)
     for line in _BREAK.split(bare):
-        if "{" in line or "[" in line:
-            if _is_error_object(line):
-                return True
-        spoken = _masked(_masked(line, _SPAN), _QUOTED)
-        plain = _TAGS.sub("\n", spoken)
+        if ("{" in line or "[" in line) and _is_error_object(line):
+            return True
+        plain = _TAGS.sub("\n", _unshown(line, *_QUOTED))
         for piece in plain.split("\n"):
             piece = _LEAD.sub("", piece).strip()
             if piece and _ERROR_LINE.match(piece) and not _PROSE.search(piece):
