@@ -53,13 +53,13 @@ FROM {v_records} WHERE trim(source_url) <> ''""",
 SELECT source_code, vulnerability_key, source_record_id, 'CWE' AS weakness_type, CASE WHEN record_no % 10 = 0 THEN NULL ELSE 'CWE-' || cast(record_no % 40 AS string) END AS weakness_id
 FROM {v_records} WHERE record_no % 2 = 0""",
     "v_threat": """
-SELECT 'first-epss' AS source_code, 'CVE-2024-' || lpad(cast(event_id % 4000 AS string), 5, '0') AS vulnerability_key, 'epss' AS score_type,
+SELECT 'first-epss' AS source_code, 'CVE-2024-' || CASE WHEN event_id < 100000 THEN lpad(cast(event_id AS string), 5, '0') ELSE cast(event_id AS string) END AS vulnerability_key, 'epss' AS score_type,
   cast((event_id * 37) % 1000 AS double) / 1000 AS score, cast((event_id * 91) % 1000 AS double) / 1000 AS percentile, '2026-02-01' AS observed_at, event_id
-FROM {events} WHERE event_id % 4000 = event_id AND event_id % 3 <> 0""",
+FROM {events} WHERE event_id % 3 <> 0""",
     "v_threat_new": """
-SELECT 'CVE-2024-' || lpad(cast(event_id % 4000 AS string), 5, '0') AS vulnerability_key,
+SELECT 'CVE-2024-' || CASE WHEN event_id < 100000 THEN lpad(cast(event_id AS string), 5, '0') ELSE cast(event_id AS string) END AS vulnerability_key,
   CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE cast((event_id * 37) % 1000 AS double) / 1000 END AS score, cast((event_id * 91) % 1000 AS double) / 1000 AS percentile
-FROM {events} WHERE event_id % 4000 = event_id AND event_id % 4 <> 0""",
+FROM {events} WHERE event_id % 4 <> 0""",
     "v_components": """
 SELECT 'C-' || cast(p_partkey AS string) AS component_id, 'S-' || cast(p_partkey % 5 AS string) AS sbom_id, 'pkg-' || cast(p_partkey AS string) AS name,
   cast(p_size % 9 + 1 AS string) || '.2' AS version,
