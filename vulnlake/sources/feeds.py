@@ -1,4 +1,4 @@
-"""Feed formats: S4, S5, S7-S11, S14, S15, N22, N23, N25, N31-N38, X6."""
+"""Feed formats: S4, S5, S7-S11, S14, S15, N22, N23, N25, N31, N34-N36, N38, X6; of N37 the ExploitDB rows."""
 
 from __future__ import annotations
 
@@ -221,13 +221,14 @@ def missing_ids(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def rust_advisory(body: Column) -> Column:
-    """A crate advisory (TOML as JSON) as an OSV-like record in JSON."""
-    v = F.from_json(body, "advisory struct<id:string,package:string,date:string,title:string,aliases:array<string>>, versions struct<patched:array<string>,unaffected:array<string>>")
+    """A crate advisory (TOML as JSON) as an OSV-like record in JSON; patched
+    versions give ``fixed`` events, unaffected ones ``introduced`` events."""
+    v = F.from_json(body, "advisory struct<id:string,package:string,date:string,title:string,aliases:array<string>>, versions struct<patched:string,unaffected:string>")
     event = lambda name: lambda x: F.create_map(F.lit(name), F.regexp_replace(x, r"^[\s^>=]+", ""))
     empty = F.array().cast("array<map<string,string>>")
-    events = F.concat(
-        F.array(F.create_map(F.lit("introduced"), F.lit("0"))), F.coalesce(F.transform(v["versions"]["patched"], event("fixed")), empty)
-    )
+    listed = lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.isNotNull(), F.array(x))
+    part = lambda versions, name: F.coalesce(F.transform(listed(v["versions"][versions]), event(name)), empty)
+    events = F.concat(F.array(F.create_map(F.lit("introduced"), F.lit("0"))), part("patched", "fixed"), part("unaffected", "introduced"))
     package = F.struct(F.lit("crates.io").alias("ecosystem"), v["advisory"]["package"].alias("name"))
     affected = F.array(F.struct(package.alias("package"), F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges")))
     return F.to_json(F.struct(v["advisory"]["id"].alias("id"), v["advisory"]["aliases"].alias("aliases"), v["advisory"]["title"].alias("summary"), v["advisory"]["date"].alias("published"), affected.alias("affected")))
@@ -247,6 +248,26 @@ def registry_package(ecosystem: str, name: Column, version: Column, repository:
     return F.struct(F.concat(F.lit(f"pkg:{ecosystem}/"), name, F.coalesce(F.concat(F.lit("@"), version), F.lit(""))).alias("purl"), repository.alias("repository"), homepage.alias("homepage"))
 
 
+def csaf_list_rows(items: DataFrame, after: str | None = None) -> DataFrame:
+    """Entries of a RedHat list with columns ``RHSA, advisory, id, CVEs,
+    released_on`` that came out after a date, or have none; those without id dropped."""
+    key = F.coalesce("RHSA", "advisory", "id")
+    new = F.lit(True) if not after else F.coalesce(F.col("released_on") == "", F.lit(True)) | (F.col("released_on") > after)
+    ids = F.filter(F.concat(F.array(key), F.coalesce("CVEs", F.array().cast("array<string>"))), lambda x: x != "")
+    return items.where(new & (key != "")).select(key.alias("source_key"), F.concat(F.lit("https://access.redhat.com/errata/"), key).alias("source_url"), ids.alias("identifiers"), "released_on")
+
+
+def alpine_rows(pages: DataFrame, body: str = "body") -> DataFrame:
+    """Packages of Alpine pages (columns ``release, repo`` and the page) with the
+    distinct ids of all their fixed versions."""
+    kind = "name:string,secfixes:map<string,array<string>>"
+    packages = pages.select("release", "repo", F.explode(F.from_json(body, f"packages array<struct<pkg:struct<{kind}>,{kind}>>")["packages"]).alias("p"))
+    lists = F.map_values(F.coalesce("p.pkg.secfixes", "p.secfixes"))
+    ids = F.filter(F.array_distinct(F.flatten(F.filter(lists, lambda x: x.isNotNull()))), lambda x: x != "")
+    name = F.coalesce("p.pkg.name", "p.name")
+    return packages.select(F.concat_ws("/", "release", "repo", name).alias("source_key"), name.alias("package_name"), F.coalesce(ids, F.array().cast("array<string>")).alias("identifiers"))
+
+
 def explode_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     """Package -> list of advisories as one row per pair, with place."""
     packages = pages.select(F.explode(F.from_json(body, "map<string,array<map<string,string>>>")).alias("package_name", "advisories"))
