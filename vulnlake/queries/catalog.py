@@ -132,7 +132,16 @@ def m09_keyed_rebuild_catalog(spark, d):
     records, identifiers, severity, _ = _v(spark, d, "v_records", "v_identifiers", "v_severity", "v_facts")
     full, components = _catalog(spark, d)
     keys = records.where("record_no % 3 = 0").select("vulnerability_key").distinct()
-    stale = full.withColumn("title", F.when(F.col("primary_identifier").isNotNull(), F.col("title")))
+    # of the changed keys, the stale catalog has old titles, lacks a quarter and has rows whose records are gone
+    name = F.col("primary_identifier")
+    quarter = F.crc32("vulnerability_key") % 4
+    gone = F.concat(F.lit("GONE-"), "vulnerability_key")
+    row = lambda key, id, title: F.struct(key.alias("primary_identifier"), id.alias("id"), title.alias("title"))
+    old = row(name, F.col("id"), F.concat(F.lit("old "), F.coalesce("title", F.lit(""))))
+    rows = F.when(F.col("vulnerability_key").isNull(), F.array(row(name, F.col("id"), F.col("title")))).when(quarter == 1, F.array(old, row(gone, F.md5(gone), F.col("title")))).when(quarter > 1, F.array(old))
+    marked = full.join(keys, name == F.col("vulnerability_key"), "left").withColumn("row", F.explode(rows))
+    stale = marked.select(*(F.col(f"row.{c}" if c in ("primary_identifier", "id", "title") else c).alias(c) for c in full.columns))
+    keys = keys.unionByName(keys.where(quarter == 1).select(gone.alias("vulnerability_key")))
     return C.rebuild_catalog(stale, records, identifiers, severity, components, keys).select(*full.columns)
 
 
