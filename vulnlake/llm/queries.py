@@ -1,15 +1,25 @@
-"""Queries of the language-model data problems (6 to 8), over whole tables."""
+"""Queries of the language-model data problems (5 to 8), over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vulnlake.llm.consensus import best_representatives
 from vulnlake.llm.leakage import item_report, leaked_pairs
 from vulnlake.llm.mixing import document_sizes, mix_shares, select_mix
 from vulnlake.llm.residue import residue_documents
 from vulnlake.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_representatives(table(spark, sf_dir, "source_records"), table(spark, sf_dir, "source_registry"), ["title", "description"])
+
+
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies add up, so the vote of the tokens decides."""
+    return best_representatives(table(spark, sf_dir, "source_records"), table(spark, sf_dir, "source_registry"), ["title", "description"], weights="additive")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -32,7 +42,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_items": p6_items, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL = {
     "p6_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
