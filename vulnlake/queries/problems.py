@@ -1,11 +1,10 @@
-"""The queries of the general data problems (1 to 5), over whole tables."""
+"""The queries of the general data problems (1 to 4), over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.operators.consensus import best_representatives
 from vulnlake.operators.mixed_times import normalise_times
 from vulnlake.operators.nested import CHILD_MEMBERS, child_values, flatten
 from vulnlake.operators.packed import split_packed
@@ -41,10 +40,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child_values(rows, "evidence_no")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_representatives(table(spark, sf_dir, "source_records"), table(spark, sf_dir, "source_registry"), ["title", "description"])
-
-
 P3_SQL = """
 WITH ordered AS (
   SELECT source_code, snapshot_id, row_number() OVER (PARTITION BY source_code ORDER BY delivered, snapshot_id) AS place
@@ -69,5 +64,5 @@ FROM pairs p JOIN ordered o ON p.source_code = o.source_code AND p.place = o.pla
 WHERE p.place > 1 AND now IS DISTINCT FROM before
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
 SQL = {"p3_found": P3_SQL}
