@@ -1,6 +1,6 @@
 import pytest
 
-from vulnlake.llm.mixing import allocate, count_tokens, document_sizes, mix_shares, select_mix, TOKENIZER_DIR
+from vulnlake.llm.mixing import _encoder, allocate, count_tokens, document_sizes, expected_copies, mix_shares, select_mix, TOKENIZER_DIR
 
 SIZES, TARGETS = "doc_id long, source string, n_tokens long", "source string, target_share double, max_repeats long, doc_id string"
 
@@ -62,8 +62,8 @@ def test_document_sizes(spark):
     got = {r["doc_id"]: (r["source"], r["n_tokens"]) for r in document_sizes(docs, targets(spark, [("a", 1.0, 1)])).collect()}
     assert got == {1: ("a", 2), 2: ("a", 0), 3: ("a", 0)}
     long = "some words " * 200_000
-    assert abs(count_tokens(long, path) - 400_001) < 100
-    assert count_tokens("x" * 300_000, path) > 0
+    for text in (long, "x" * 300_000, "   a\n  bc  " * 30_000, "ab" * 60_000 + " c " + "1" * 70_000):
+        assert count_tokens(text, path, 1 << 10) == count_tokens(text, path) == len(_encoder(path).encode_ordinary(text))
 
 
 def test_whole_tables(spark, sf):
@@ -72,3 +72,74 @@ def test_whole_tables(spark, sf):
     shares = {r["source"]: r for r in p7_shares(spark, sf).collect()}
     assert len(shares) == 10 and shares["standards-digest"]["mix_tokens"] == 0
     assert p7_selection(spark, sf).where("copies < 1").count() == 0
+
+
+def brute_rate(lengths, most, wanted):
+    """The rate by bisection, on documents."""
+    low, high = 0.0, most / min(lengths)
+    for _ in range(200):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(min(most, rate * t) * t for t in lengths) < wanted else (low, rate)
+    return high
+
+
+@pytest.mark.parametrize("share", [0.05, 0.4, 0.8, 0.97, 1.0])
+def test_expected_copies_follow_size(spark, share):
+    """Expected copies are in proportion to size up to the limit, and give the wanted tokens."""
+    lengths = [1 + (n * n) % 97 for n in range(400)]
+    s = spark.createDataFrame([(n, "a", t) for n, t in enumerate(lengths)] + [(1000, "a", 0)], SIZES)
+    wanted = share * 3 * sum(lengths)
+    plan = spark.createDataFrame([("a", 3, wanted)], "source string, max_repeats long, wanted double")
+    rows = expected_copies(s, plan).collect()
+    copies = {r["n_tokens"]: r["whole"] + r["p"] for r in rows}
+    rate = brute_rate(lengths, 3, wanted)
+    assert set(copies) == set(lengths) and all(copies[t] == pytest.approx(min(3, rate * t), abs=1e-6) for t in copies)
+    assert sum(copies[t] * t for t in lengths) == pytest.approx(wanted)
+    assert len({round(r["p"], 6) for r in rows}) > 10 or share == 1.0
+    assert all(r["rest"] == pytest.approx(wanted - sum(t * next(q["whole"] for q in rows if q["n_tokens"] == t) for t in lengths)) for r in rows[:1])
+
+
+def test_fixed_size_and_unequal_inclusion(spark):
+    """Over many seeds every document is drawn as often as its probability says, and
+    every sample has the wanted size."""
+    lengths = [10, 20, 30, 40, 50, 60, 70, 80] * 25
+    s = spark.createDataFrame([(n, "a", t) for n, t in enumerate(lengths)], SIZES)
+    t = targets(spark, [("a", 1.0, 1)])
+    wanted, runs = 4000, 30
+    drawn = {}
+    for seed in range(runs):
+        rows = select_mix(s, t, wanted, seed=seed).collect()
+        assert abs(sum(r["n_tokens"] * r["copies"] for r in rows) - wanted) <= 80
+        for r in rows:
+            drawn[r["n_tokens"]] = drawn.get(r["n_tokens"], 0) + r["copies"]
+    rate = wanted / sum(x * x for x in lengths)
+    for size in (10, 20, 30, 40, 50, 60, 70, 80):
+        p = rate * size
+        assert drawn.get(size, 0) / (25 * runs) == pytest.approx(p, abs=4 * (p * (1 - p) / (25 * runs)) ** 0.5)
+
+
+def test_selection_equals_a_plain_sort(spark):
+    """The cut found by bins is the cut of a sorted list."""
+    rows = [(n, "ab"[n % 3 == 0], 5 + (n * 7) % 60) for n in range(2000)]
+    s = spark.createDataFrame(rows, SIZES)
+    t = targets(spark, [("a", 0.7, 2), ("b", 0.3, 1)])
+    got = {r["doc_id"]: r["copies"] for r in select_mix(s, t, 60_000, seed=5).collect()}
+    u = {r["doc_id"]: r["u"] for r in s.selectExpr("doc_id", f"(pmod(xxhash64(5, doc_id), {1 << 52}) + 0.5) / {float(1 << 52)!r}D AS u").collect()}
+    expected = {}
+    for source, most, share in (("a", 2, 0.7), ("b", 1, 0.3)):
+        docs = [(n, k) for n, x, k in rows if x == source]
+        wanted = min(60_000 * share, most * sum(k for _, k in docs))
+        rate = brute_rate([k for _, k in docs], most, wanted)
+        order, rest = [], wanted
+        for n, k in docs:
+            e = min(most, rate * k)
+            whole = int(e + 1e-6)
+            expected[n] = whole
+            rest -= whole * k
+            if e - whole > 1e-6:
+                order.append(((u[n] / (1 - u[n])) / ((e - whole) / (1 - e + whole)), n, k))
+        running = 0
+        for _, n, k in sorted(order):
+            running += k
+            expected[n] += running - k / 2 <= rest
+    assert got == {n: c for n, c in expected.items() if c}

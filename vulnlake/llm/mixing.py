@@ -1,17 +1,21 @@
 """Mixing sources to target weights, by Pareto order sampling.
 
 Sizes are tokens of a public tokenizer. From the sizes of the sources, the
-targets and the repeat limits follows how many copies of each document a source
-must give on average. Whole copies are certain; the remaining fraction is an
-inclusion probability p, and documents are ranked by random odds over inclusion
-odds, (u / (1 - u)) / (p / (1 - p)). The first documents in this order, up to
-the source's remaining tokens, get one copy more.
-
-The cut in the order is found without sorting a source: ranks fall into
-``BINS`` bins, bins are summed, and only the bin in which the target is
-reached is looked at document by document, in finer bins, until a bin holds
-few documents. Random numbers are hashes of the document id and the seed, so a
-task that runs again draws the same.
+targets and the repeat limits follow the tokens each source must give. Inside a
+source a document's expected copies are proportional to its size, at most the
+repeat limit: ``least(max_repeats, rate * n_tokens)``, with the rate at which
+the expected tokens of the source are the wanted ones. Whole copies are certain;
+the remaining fraction is an inclusion probability p of its own for each
+document, and documents are ranked by random odds over inclusion odds,
+(u / (1 - u)) / (p / (1 - p)). The first documents in this order, up to the
+source's remaining tokens (a fixed size), get one copy more.
+
+A source's rate depends on its documents' sizes only, so it is found on counts
+per distinct size, not on documents. The cut in the order is found without
+sorting a source: ranks fall into ``BINS`` bins, bins are summed, and only the
+bin in which the target is reached is looked at document by document, in finer
+bins, until a bin holds few documents. Random numbers are hashes of the document
+id and the seed, so a task that runs again draws the same.
 """
 
 from __future__ import annotations
@@ -49,8 +53,8 @@ def _encoder(path: str):
 
 
 def count_tokens(text: str | None, path: str, stretch: int = 1 << 16) -> int:
-    """Tokens of a whole text; very long texts are encoded stretch by stretch,
-    cut at white space where there is any, which keeps the time linear."""
+    """Tokens of a whole text. Long texts are encoded stretch by stretch, cut where
+    a space begins, at which no token goes over: the sum is exact."""
     if not text:
         return 0
     encoder, at, total = _encoder(path), 0, 0
@@ -58,7 +62,8 @@ def count_tokens(text: str | None, path: str, stretch: int = 1 << 16) -> int:
         end = min(len(text), at + stretch)
         if end < len(text):
             gap = text.rfind(" ", at + 1, end)
-            end = gap if gap > at else end
+            gap = gap if gap > at else text.find(" ", end)
+            end = gap if gap > at else len(text)
         total += len(encoder.encode_ordinary(text[at:end]))
         at = end
     return total
@@ -96,10 +101,10 @@ def clean_targets(targets: DataFrame) -> DataFrame:
 
 
 def allocate(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """Per target source: ``target_share, max_repeats, available, wanted, copies``.
+    """Per target source: ``target_share, max_repeats, available, wanted``.
 
-    ``wanted`` is the source's tokens in the mix and ``copies`` the average copies
-    per document, ``wanted / available``, at most ``max_repeats``. Without
+    ``wanted`` is the source's tokens in the mix, at most ``max_repeats`` times what
+    is available. Without
     ``total_tokens`` the mix is the largest in which all sources that have
     tokens meet their targets relative to each other; with it, sources that
     cannot reach their share give what they can.
@@ -112,22 +117,47 @@ def allocate(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = No
     else:
         reach = F.lit(float(total_tokens))
     wanted = F.least(F.coalesce(reach, F.lit(0.0)) * F.col("target_share"), limit.cast("double"))
-    return plan.withColumn("wanted", wanted).withColumn("copies", F.when(F.col("available") > 0, F.col("wanted") / F.col("available")).otherwise(0.0))
+    return plan.withColumn("wanted", wanted)
+
+
+def expected_copies(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``source, n_tokens, whole, p, rest``, one row per distinct size of a source.
+
+    With documents in falling size, those at the limit come first. For each size
+    as the first one below the limit follows a rate; the largest size that this
+    rate keeps within the limit is the right one. ``rest`` is what remains of the
+    source's wanted tokens after the whole copies. Documents of size 0 get none.
+    """
+    counts = sizes.where("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
+    known = counts.join(plan.where("wanted > 0").select("source", "wanted", F.col("max_repeats").cast("double").alias("most")), "source")
+    by_size = Window.partitionBy("source").orderBy(F.col("n_tokens").desc())
+    larger = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    others = by_size.rowsBetween(0, Window.unboundedFollowing)
+    n, t = F.col("n").cast("double"), F.col("n_tokens").cast("double")
+    rate = (F.col("wanted") - F.col("most") * F.coalesce(F.sum(n * t).over(larger), F.lit(0.0))) / F.sum(n * t * t).over(others)
+    rated = known.withColumn("rate", F.greatest(rate, F.lit(0.0)))
+    fits = F.when(F.col("rate") * t <= F.col("most") * (1 + 1e-9), F.struct("n_tokens", "rate"))
+    whole_source = Window.partitionBy("source")
+    found = rated.withColumn("found", F.max(fits).over(whole_source)["rate"])
+    copies = F.least(F.col("most"), F.coalesce("found", F.col("most") / F.min(t).over(whole_source)) * t)
+    whole = F.floor(copies + 1e-9)
+    split = found.withColumns({"whole": whole.cast("bigint"), "p": F.when(copies - whole > 1e-9, copies - whole).otherwise(0.0)})
+    rest = F.col("wanted") - F.sum(F.col("whole") * F.col("n") * F.col("n_tokens")).over(whole_source)
+    return split.withColumn("rest", rest).select("source", "n_tokens", "whole", "p", "rest")
 
 
 def _ordered(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Documents with their certain copies and their place in the Pareto order.
 
-    The place is a whole number below 2**52 that grows with the order.
+    The place is a whole number below 2**52 that grows with the order. Written
+    once: the search for the cut and the selection read it several times.
     """
-    joined = sizes.join(plan.select("source", "wanted", "available", "copies"), "source").where("copies > 0")
+    joined = sizes.join(expected_copies(sizes, plan), ["source", "n_tokens"])
     random = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / F.lit(_UNIT)
-    whole = F.floor(F.col("copies") + 1e-12)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    return (
-        joined.withColumns({"u": random, "whole": whole.cast("bigint"), "p": F.greatest(F.col("copies") - whole, F.lit(0.0))})
-        .withColumn("rest", F.when(F.col("p") > 1e-12, F.col("wanted") - F.col("whole") * F.col("available")).otherwise(0.0))
-        .withColumn("odds", F.when(F.col("rest") > 0, odds))
+    return reliable_checkpoint(
+        joined.withColumn("u", random)
+        .withColumn("odds", F.when((F.col("p") > 0) & (F.col("rest") > 0), odds))
         .withColumn("place", F.floor(F.col("odds") / (1 + F.col("odds")) * F.lit(_UNIT)).cast("bigint"))
         .select("doc_id", "source", "n_tokens", "whole", "rest", "place")
     )
@@ -156,11 +186,11 @@ def _cuts(ordered: DataFrame) -> DataFrame:
 def select_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of the selected documents.
 
-    Documents without text count as empty and may be selected; null or unlisted
+    Documents without tokens add nothing to a share and are not selected; null or unlisted
     sources, and sources without documents, give nothing. A source's tokens miss
     its wanted size by less than one document. Empty tables give an empty result.
     """
-    plan = allocate(sizes, targets, total_tokens)
+    plan = reliable_checkpoint(allocate(sizes, targets, total_tokens))
     ordered = _ordered(sizes, plan, seed)
     cuts = reliable_checkpoint(_cuts(ordered))
     placed = ordered.join(cuts, "source", "left")
