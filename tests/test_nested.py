@@ -1,14 +1,14 @@
 import json
 
-from vulnlake.operators.nested import child_values, flatten, parse, relations_of, schema_graph
+from vulnlake.operators.nested import CHILD_MEMBERS, child_values, flatten, parse, relations_of, schema_graph
 
 SCHEMA = "evidence_no long, evidence_json string, relation string"
 
 
 def run(spark, *texts):
     df = spark.createDataFrame([(n, t if t is None or isinstance(t, str) else json.dumps(t), "x") for n, t in enumerate(texts, 1)], SCHEMA)
-    rows, _ = flatten(df, "evidence_no", "evidence_json")
-    return sorted(tuple(r) for r in child_values(rows, "evidence_no").collect())
+    rows, relations = flatten(df, "evidence_no", "evidence_json")
+    return sorted(tuple(r) for r in child_values(rows, relations, "evidence_no").collect())
 
 
 def test_forms_of_groups(spark):
@@ -41,17 +41,55 @@ def test_deep_and_long_texts(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     rows, relations = flatten(df, "evidence_no", "evidence_json")
-    assert rows.count() == 0 and "affectedfacts" in relations.tables
+    assert rows.count() == 0 and not relations.tables and child_values(rows, relations, "evidence_no").count() == 0
+
+
+def test_singletons_are_inlined_and_found(spark):
+    """Without lists and repetition the graph inlines the groups; the values come out all the same."""
+    alone = {"affectedFacts": {"versionRange": "< 1", "severityScores": {"vectorString": "V"}}, "references": {"url": "u", "tags": {"name": "T"}}}
+    plain = {"affectedFacts": "just text", "references": {"tags": "S"}}
+    df = spark.createDataFrame([(1, json.dumps(alone), "x"), (2, json.dumps(plain), "x")], SCHEMA)
+    rows, relations = flatten(df, "evidence_no", "evidence_json", CHILD_MEMBERS)
+    assert not relations.tables and {r["relation"] for r in rows.collect()} == {"record_root"}
+    expected = [(1, "fact", 0, 1, "< 1"), (1, "severity", 1, 1, "V"), (1, "tag", 1, 1, "T"), (2, "fact", 0, 1, "just text"), (2, "tag", 1, 1, "S")]
+    assert run(spark, alone, plain) == expected
+    # a record with lists changes the graph, and with it the tables of all records
+    lists = {"affectedFacts": [{"severityScores": [{"vectorString": "W"}]}], "severityScores": [], "references": [{"tags": ["R"]}]}
+    assert run(spark, alone, plain, lists) == [*expected, (3, "severity", 1, 1, "W"), (3, "tag", 1, 1, "R")]
+
+
+def test_another_graph_gives_other_tables(spark, sf):
+    from vulnlake.operators.nested import Relations, shred_texts
+    from vulnlake.session import table
+
+    df = table(spark, sf, "evidence_records")
+    rows, relations = flatten(df, "evidence_no", "evidence_json")
+    count = lambda found: {r["relation"]: r["n"] for r in found.groupBy("relation").count().withColumnRenamed("count", "n").collect()}
+    assert set(count(rows)) == relations.tables | {"record_root"}
+    none = Relations(frozenset(), frozenset(), frozenset())
+    assert set(count(shred_texts(df, "evidence_no", "evidence_json", none))) == {"record_root"}
+    fewer = Relations(relations.tables - {"tags"}, relations.shared, relations.recursive)
+    assert set(count(shred_texts(df, "evidence_no", "evidence_json", fewer))) == set(count(rows)) - {"tags"}
+
+
+def test_a_value_spelled_twice_is_kept(spark):
+    twice = {"affectedFacts": [{"versionRange": " ", "version_range": "< 2"}, {"VersionRange": "< 3"}, {"versionRange": None}], "references": [{"tags": [{"name": "a", "Name": "b"}]}]}
+    df = spark.createDataFrame([(1, json.dumps(twice), "x")], SCHEMA)
+    rows, relations = flatten(df, "evidence_no", "evidence_json", CHILD_MEMBERS)
+    assert {"versionrange", "name"} <= relations.tables
+    assert sorted(tuple(r) for r in child_values(rows, relations, "evidence_no").collect()) == [(1, "fact", 0, 1, "< 2"), (1, "fact", 0, 2, "< 3"), (1, "tag", 1, 1, "a")]
+    assert sorted(r["members"]["value"] or "" for r in rows.where("relation = 'versionrange'").collect()) == ["", " ", "< 2", "< 3"]
+    single = {"affectedFacts": {"versionRange": "x", "version_range": "y"}}
+    assert run(spark, single) == [(1, "fact", 0, 1, "x")]
 
 
 def test_pruning_changes_nothing(spark, sf):
-    from vulnlake.operators.nested import CHILD_MEMBERS
     from vulnlake.session import table
 
     df = table(spark, sf, "evidence_records")
-    whole, _ = flatten(df, "evidence_no", "evidence_json")
+    whole, relations = flatten(df, "evidence_no", "evidence_json")
     pruned, _ = flatten(df, "evidence_no", "evidence_json", CHILD_MEMBERS)
-    assert sorted(map(tuple, child_values(whole, "n").collect())) == sorted(map(tuple, child_values(pruned, "n").collect()))
+    assert sorted(map(tuple, child_values(whole, relations, "n").collect())) == sorted(map(tuple, child_values(pruned, relations, "n").collect()))
 
 
 def test_schema_graph_and_inlining(spark):

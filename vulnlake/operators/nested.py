@@ -3,11 +3,12 @@
 1. The schema graph of all texts is collected: elements, which contain which,
    and how often one occurs below its parent. Names are compared without case
    and underscores, so writers with other naming styles share elements.
-2. Elements that repeat, have several parents (shared) or contain themselves
-   (recursive) get a table; all others are inlined as columns of the nearest
-   element above that has one.
+2. Elements that repeat (or are written as a list anywhere), have several parents
+   (shared) or contain themselves (recursive) get a table; all others are inlined
+   as columns of the nearest element above that has one. The graph alone decides
+   this; ``child_values`` reads an element wherever it has been put.
 3. Each text is shredded into rows with the id of the row, of its parent row,
-   and its place among its siblings.
+   its place among its siblings, and the places of the elements around it.
 
 Wrappers only hold their content: what they contain belongs to the element
 around them. A group may be written as a list, as one object, or as a wrapper.
@@ -18,10 +19,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------
@@ -33,13 +34,11 @@ SYNONYMS = {"facts": "affectedfacts"}
 TREES = frozenset({"nodes"})
 #: Member that holds the value of an element written as an object.
 VALUE_MEMBERS = {"tags": "name", "references": "url"}
-#: Elements that hold a list of their own kind, even where written singly.
-REPEATED = frozenset({"affectedfacts", "severityscores", "references", "tags", "weaknesses", "nodes"})
 # --------------------------------------------------------------------------
 
 ROOT = "record_root"
 _GRAPH = "parent string, child string, most long, scalar boolean"
-_ROWS = "doc long, relation string, row_id long, parent_relation string, parent_id long, tree_id long, pos long, parent_pos long, members map<string,string>"
+_ROWS = "doc long, relation string, row_id long, parent_relation string, parent_id long, tree_id long, pos long, around map<string,long>, members map<string,string>"
 
 
 def parse(text: str | None) -> object | None:
@@ -124,7 +123,10 @@ def is_tree(value: object) -> bool:
 
 
 def _edges(value: object, found: dict[tuple[str, str], list]) -> None:
-    """Adds the schema graph of one text to ``found``: (parent, child) -> [most, scalar]."""
+    """Adds the schema graph of one text to ``found``: (parent, child) -> [most, scalar].
+
+    ``most`` counts occurrences below one parent, a list as at least two.
+    """
     stack: list[tuple[str, object]] = [(ROOT, value)]
     while stack:
         parent, item = stack.pop()
@@ -132,7 +134,7 @@ def _edges(value: object, found: dict[tuple[str, str], list]) -> None:
         for name, member in _members(item):
             several = isinstance(member, (list, dict))
             group = _occurrences(member) if several else [member]
-            counts[name] = counts.get(name, 0) + len(group)
+            counts[name] = counts.get(name, 0) + (max(2, len(group)) if isinstance(member, list) else len(group))
             edge = found.setdefault((parent, name), [0, True])
             edge[0] = max(edge[0], counts[name])
             for each in group:
@@ -177,7 +179,7 @@ def relations_of(edges: list[tuple[str, str, int, bool]]) -> Relations:
     """Shared inlining over the schema graph."""
     parents: dict[str, set[str]] = {}
     children: dict[str, set[str]] = {}
-    repeated, complex_ = set(REPEATED), set(REPEATED)
+    repeated, complex_ = set(), set()
     for parent, child, most, scalar in edges:
         parents.setdefault(child, set()).add(parent)
         children.setdefault(parent, set()).add(child)
@@ -210,31 +212,32 @@ def _text(value: object) -> str | None:
 def shred(doc: int, value: object, tables: frozenset[str], rows: list[tuple]) -> None:
     """Appends the rows of one text: see ``_ROWS``.
 
-    ``pos`` counts the siblings of a kind below their owner in reading order,
-    those without value too; elements in a tree count through below the owner
-    of the tree and name their node in ``tree_id``.
+    ``pos`` counts the siblings of a kind below their parent in reading order,
+    those without value too; elements in a tree count through below the parent
+    of the tree and name their node in ``tree_id``. ``around`` has the place of
+    every element around the row, inlined ones (place 1) too.
     """
     serial = 0
     root: dict[str, str | None] = {}
-    rows.append((doc, ROOT, 0, None, None, None, 1, 0, root))
-    # An owner is (relation, row id, place, counters of the kinds below it).
+    rows.append((doc, ROOT, 0, None, None, None, 1, {}, root))
+    # An owner is (relation, row id, counters of the kinds below it, elements around its content).
     # A frame is an element to number (its name, content), or content to read.
-    stack: list[tuple] = [("", value, (ROOT, 0, 0, {}), None, root, "")]
+    stack: list[tuple] = [("", value, (ROOT, 0, {}, {}), None, root, "")]
     while stack:
         name, item, owner, tree, columns, prefix = stack.pop()
         if name:
             serial += 1
-            relation, row_id, place, counters = owner
-            counters[name] = counters.get(name, 0) + 1
+            relation, row_id, counters, around = owner
+            place = counters[name] = counters.get(name, 0) + 1
             members: dict[str, str | None] = {}
-            rows.append((doc, name, serial, relation, row_id, tree, counters[name], place, members))
+            rows.append((doc, name, serial, relation, row_id, tree, place, around, members))
             if not isinstance(item, dict):
                 members[VALUE_MEMBERS.get(name, "value")] = _text(item)
                 continue
             if name in TREES:
                 tree = serial
             else:
-                owner, tree = (name, serial, counters[name], {}), None
+                owner, tree = (name, serial, {}, {**around, name: place}), None
             columns, prefix = members, ""
         frames = []
         for member, content in _members(item):
@@ -245,9 +248,12 @@ def shred(doc: int, value: object, tables: frozenset[str], rows: list[tuple]) ->
                     else:
                         frames.append((member, each, owner, tree, columns, prefix))
             elif isinstance(content, dict):
-                frames.append(("", content, owner, tree, columns, f"{prefix}{member}."))
+                inner = owner if member in TREES or is_tree(content) else (owner[0], owner[1], {}, {**owner[3], member: 1})
+                frames.append(("", content, inner, tree, columns, f"{prefix}{member}."))
             else:
-                columns.setdefault(prefix + member, _text(content))
+                known = columns.get(prefix + member)
+                text = _text(content)
+                columns[prefix + member] = text if known is None else known if text is None else json.dumps([known, text], ensure_ascii=False)
         stack.extend(reversed(frames))
 
 
@@ -279,27 +285,92 @@ def flatten(df: DataFrame, doc: str, column: str, wanted: dict[str, list[str]] |
     """Shredded rows and the relations chosen for them.
 
     The schema graph (names only) is read by the driver to choose the relations.
+    ``wanted`` is let go where the graph has inlined one of its relations or made
+    one of its members a relation.
     """
     edges = [(r["parent"], r["child"], r["most"], r["scalar"]) for r in schema_graph(df, column).toLocalIterator()]
     relations = relations_of(edges)
+    if wanted is not None and not _as_wanted(relations, wanted):
+        wanted = None
     return shred_texts(df, doc, column, relations, wanted), relations
 
 
+def _as_wanted(relations: Relations, wanted: dict[str, list[str]]) -> bool:
+    return relations.tables.issuperset(wanted) and relations.tables.isdisjoint(m for members in wanted.values() for m in members)
+
+
+@dataclass(frozen=True)
+class Child:
+    """A kind of flat row: the element, the member that holds its value, and the
+    element whose place it names as its parent (needed, or 0 where it is not)."""
+
+    kind: str
+    element: str
+    member: str
+    parent: str | None = None
+    needed: bool = False
+
+
+#: The kinds of TESTDATA.md.
+CHILDREN = [Child("fact", "affectedfacts", "versionrange"), Child("severity", "severityscores", "vectorstring", "affectedfacts"), Child("tag", "tags", "name", "references", True)]
 #: Relations and members that ``child_values`` reads.
-CHILD_MEMBERS = {"affectedfacts": ["versionrange", "value"], "severityscores": ["vectorstring", "value"], "tags": ["name", "value"]}
-
-
-def child_values(rows: DataFrame, doc_name: str) -> DataFrame:
-    """Flat child values with their parent link: the version range of each fact,
-    the vector of each score, and each tag of a reference; blank values left out."""
-    kinds = {"affectedfacts": ("fact", "versionrange"), "severityscores": ("severity", "vectorstring"), "tags": ("tag", "name")}
-    relation = F.col("relation")
-    kind = F.lit(None).cast("string")
-    value = F.lit(None).cast("string")
-    for name, (label, member) in kinds.items():
-        kind = F.when(relation == name, label).otherwise(kind)
-        value = F.when(relation == name, F.coalesce(F.try_element_at("members", F.lit(member)), F.try_element_at("members", F.lit("value")))).otherwise(value)
-    out = rows.where(relation.isin(*kinds)).where((relation != "tags") | (F.col("parent_relation") == "references"))
-    return out.select(
-        F.col("doc").alias(doc_name), kind.alias("child_kind"), "parent_pos", F.col("pos").alias("child_pos"), value.alias("child_value")
-    ).where(F.col("child_value").rlike(r"[^\s 　]"))
+CHILD_MEMBERS = {c.element: [c.member, "value"] for c in CHILDREN}
+
+
+def child_values(rows: DataFrame, relations: Relations, doc_name: str) -> DataFrame:
+    """``child_kind, parent_pos, child_pos, child_value`` of each text: the version
+    range of each fact, the vector of each score, and each tag of a reference; blank
+    values left out.
+
+    Where an element has a table, its rows are read; where the graph has inlined
+    it, the columns of the rows around it; where its value repeats and has a
+    table, the first value that is not blank.
+    """
+    parts = []
+    plain = [c for c in CHILDREN if c.element in relations.tables and c.member not in relations.tables]
+    if plain:
+        kind, parent, value = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("string")
+        for c in plain:
+            mine = F.col("relation") == c.element
+            kind, parent = F.when(mine, c.kind).otherwise(kind), F.when(mine, _place_around(c)).otherwise(parent)
+            value = F.when(mine, _own_value(c)).otherwise(value)
+        some = rows.where(F.col("relation").isin(*(c.element for c in plain)))
+        parts.append(some.select("doc", kind.alias("child_kind"), parent.alias("parent_pos"), F.col("pos").alias("child_pos"), value.alias("child_value")))
+    for c in CHILDREN:
+        if c in plain:
+            continue
+        if c.element in relations.tables:
+            mine = rows.where(F.col("relation") == c.element).select("doc", "row_id", "pos", _place_around(c).alias("parent_pos"), _own_value(c).alias("own"))
+            listed = _first_values(rows, c, F.col("parent_relation") == c.element).withColumnRenamed("parent_id", "row_id")
+            parts.append(mine.join(listed, ["doc", "row_id"], "left").select("doc", F.lit(c.kind).alias("child_kind"), "parent_pos", F.col("pos").alias("child_pos"), F.coalesce("listed", "own").alias("child_value")))
+            continue
+        if c.member in relations.tables:
+            listed = _first_values(rows, c, F.map_contains_key("around", F.lit(c.element)), F.min(_place_around(c)).alias("parent_pos"))
+            parts.append(listed.select("doc", F.lit(c.kind).alias("child_kind"), "parent_pos", F.lit(1).cast("long").alias("child_pos"), F.col("listed").alias("child_value")))
+        found = rows.select("doc", "relation", "pos", "around", F.explode("members").alias("name", "value")).where(F.col("name").rlike(rf"(^|\.){c.element}(\.({c.member}|value))?$"))
+        inside = F.lit(0) if c.parent is None else F.when(F.col("name").rlike(rf"(^|\.){c.parent}\."), 1).when(F.col("relation") == c.parent, F.col("pos")).otherwise(_place_around(c))
+        parts.append(found.select("doc", F.lit(c.kind).alias("child_kind"), inside.cast("long").alias("parent_pos"), F.lit(1).cast("long").alias("child_pos"), F.col("value").alias("child_value")))
+    out = reduce(DataFrame.unionByName, parts).where(F.col("parent_pos").isNotNull() & F.col("child_value").rlike(_SHOWN))
+    return out.withColumnRenamed("doc", doc_name)
+
+
+_SHOWN = r"[^\s 　]"
+
+
+def _place_around(child: Child) -> Column:
+    """The place of the parent element around a row."""
+    if child.parent is None:
+        return F.lit(0).cast("long")
+    place = F.try_element_at("around", F.lit(child.parent))
+    return place if child.needed else F.coalesce(place, F.lit(0).cast("long"))
+
+
+def _own_value(child: Child) -> Column:
+    return F.coalesce(F.try_element_at("members", F.lit(child.member)), F.try_element_at("members", F.lit("value")))
+
+
+def _first_values(rows: DataFrame, child: Child, which: Column, *more: Column) -> DataFrame:
+    """``doc, parent_id, listed``: the first shown value of a member that has a table."""
+    value = F.try_element_at("members", F.lit(VALUE_MEMBERS.get(child.member, "value")))
+    mine = rows.where((F.col("relation") == child.member) & which & value.rlike(_SHOWN))
+    return mine.groupBy("doc", "parent_id").agg(F.min_by(value, F.struct("pos", "row_id")).alias("listed"), *more)

@@ -36,8 +36,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = flatten(table(spark, sf_dir, "evidence_records"), "evidence_no", "evidence_json", CHILD_MEMBERS)
-    return child_values(rows, "evidence_no")
+    rows, relations = flatten(table(spark, sf_dir, "evidence_records"), "evidence_no", "evidence_json", CHILD_MEMBERS)
+    return child_values(rows, relations, "evidence_no")
+
+
+def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flat tables, one row per element with its links; columns as JSON."""
+    rows, _ = flatten(table(spark, sf_dir, "evidence_records"), "evidence_no", "evidence_json")
+    return rows.select(F.col("doc").alias("evidence_no"), "relation", "row_id", "parent_relation", "parent_id", "tree_id", "pos", F.to_json("members").alias("columns_json"))
 
 
 P3_SQL = """
@@ -64,5 +70,5 @@ FROM pairs p JOIN ordered o ON p.source_code = o.source_code AND p.place = o.pla
 WHERE p.place > 1 AND now IS DISTINCT FROM before
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_tables": p4_tables}
 SQL = {"p3_found": P3_SQL}
