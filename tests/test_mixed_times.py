@@ -96,5 +96,32 @@ def test_whole_tables_equal_single_readings(spark, sf):
     assert {tuple(r) for r in p2_found(spark, sf).collect()} == want
 
 
+def test_without_registry_the_path_decides(spark, sf, monkeypatch):
+    """Over the whole table: every instant is a reading of its value, the paths cost what
+    the best paths cost, and readings that are not the first are chosen."""
+    from vulnlake.queries.problems import p2_unregistered
+    from vulnlake.session import table
+
+    monkeypatch.setattr(M, "BLOCK", 50)
+    got = {(r["field_name"], r["row_no"]): r["utc_micros"] for r in p2_unregistered(spark, sf).collect()}
+    chains, seen, later = {}, 0, 0
+    for r in sorted(table(spark, sf, "source_records").collect(), key=lambda r: r["record_no"]):
+        for f in ("published_at", "modified_at"):
+            if found := readings(r[f], None, None):
+                chains.setdefault((f, r["source_code"]), []).append((found, got[f, r["record_no"]]))
+                seen += 1
+    assert seen == len(got)
+    for chain in chains.values():
+        best, mine = {s: 0.0 for s in chain[0][0]}, 0.0
+        path = [next(s for s in found if s[1] == micros) for found, micros in chain]
+        later += sum(p != found[0] for p, (found, _) in zip(path, chain))
+        cost = lambda a, b: M.SWITCH * (a[0] != b[0]) + M.BACKWARD * (b[1] < a[1])
+        for found, _ in chain[1:]:
+            best = {s: min(c + cost(b, s) for b, c in best.items()) for s in found}
+        mine = sum(cost(a, b) for a, b in zip(path, path[1:]))
+        assert mine == pytest.approx(min(best.values()))
+    assert later
+
+
 def test_step_costs():
     assert np.array_equal(M._step([(0, 5)], [(0, 4), (1, 6)]), [[M.BACKWARD, M.SWITCH]])

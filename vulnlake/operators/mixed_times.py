@@ -16,6 +16,8 @@ blocks of ``BLOCK`` record numbers and solved as (min, +) products:
 
 The result is that of one Viterbi pass over the whole chain, whatever the
 cut. Rows with a single reading pass through the same model: they fix the path.
+Where that holds for every value of a chain, its only path is its readings, and
+the chain is given as read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.timestamps import readings
+from vulnlake.session import reliable_checkpoint
 
 #: Record numbers per block of a chain.
 BLOCK = 1 << 16
@@ -193,12 +196,23 @@ def choose_readings(values: DataFrame) -> DataFrame:
 
     A chain is one field of one source (both not null). Gives ``field_name,
     source_code, row_no, utc_micros, reading_kind``, one row per input row. Rows
-    of equal number in one chain are taken in any order. One shuffle by block
-    feeds both the summaries and the final choice: its keys are never null, so
-    both sides of the join read the same exchange.
+    of equal number in one chain are taken in any order. The values are written
+    once, with all their readings; chains without any choice (all of them, where
+    the registry settles every value) go out from there without a shuffle.
     """
+    values = reliable_checkpoint(values.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in CHAIN}))
+    as_read = lambda df: df.select(*CHAIN, "row_no", F.col("micros").alias("utc_micros"), F.col("kind").alias("reading_kind"))
+    chains = values.groupBy(*CHAIN).agg(F.max(F.col("more").isNotNull()).alias("open")).where("open")
+    if chains.isEmpty():
+        return as_read(values)
+    chains = reliable_checkpoint(chains.select(*CHAIN))
+    return as_read(values.join(chains, CHAIN, "left_anti")).unionByName(_viterbi(values.join(chains, CHAIN, "left_semi")))
+
+
+def _viterbi(values: DataFrame) -> DataFrame:
+    """Steps 1 to 3 above."""
     block = F.coalesce(F.floor(F.col("row_no") / F.lit(BLOCK)).cast("bigint"), F.lit(0).cast("bigint"))
-    blocks = values.withColumns({"block": block, **{c: F.coalesce(F.col(c), F.lit("")) for c in CHAIN}}).repartition(*CHAIN, "block")
+    blocks = values.withColumn("block", block).repartition(*CHAIN, "block")
     summaries = blocks.groupBy(*CHAIN, "block").applyInPandas(_summarise, _SUMMARY)
     ends = summaries.groupBy(*CHAIN).applyInPandas(_join_blocks, _ENDS)
     return blocks.join(ends.hint("merge"), [*CHAIN, "block"]).groupBy(*CHAIN, "block").applyInPandas(_choose, _CHOSEN)

@@ -28,6 +28,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.unionByName(exploits).select("table_name", "row_no", "field_name", "utc_micros")
 
 
+def p2_unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is known of the sources, so the path through each source's records
+    decides between the readings; times without zone are taken as UTC."""
+    records = table(spark, sf_dir, "source_records")
+    found = normalise_times(records, "record_no", "source_code", ["published_at", "modified_at"], None, "source_records")
+    return found.select("table_name", "row_no", "field_name", "utc_micros")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = diff_snapshots(
         table(spark, sf_dir, "exploits"), table(spark, sf_dir, "exploit_snapshots"), "source_key", "exploit_row", "is_active", ENTRY_COLUMNS
@@ -70,5 +78,5 @@ FROM pairs p JOIN ordered o ON p.source_code = o.source_code AND p.place = o.pla
 WHERE p.place > 1 AND now IS DISTINCT FROM before
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_tables": p4_tables}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unregistered": p2_unregistered, "p3_found": p3_found, "p4_found": p4_found, "p4_tables": p4_tables}
 SQL = {"p3_found": P3_SQL}
