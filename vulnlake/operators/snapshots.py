@@ -1,10 +1,13 @@
 """What changed between full snapshots: Merkle digests first, rows second.
 
-Keys of a feed are hashed into ranges (the leaves of a tree with fan-out
-``FAN``). Each snapshot has a digest per leaf, and digests of digests above.
-Trees of consecutive snapshots are compared top-down, each level only below
-nodes that differ, and rows are compared only in leaves that differ. Unchanged
-ranges never shuffle their rows a second time.
+Keys of a feed are hashed into ranges, the leaves of a tree with fan-out
+``FAN``; the tree is as deep as ``LEAF_KEYS`` keys a leaf ask for. Rows are
+shuffled once, by feed and leaf, to the state of each entry in each snapshot,
+which is written once: a key and a digest. From there each snapshot gets a
+digest per leaf (summed before the shuffle), and digests of digests above. Trees
+of consecutive snapshots are compared top-down, each level only below nodes that
+differ, and states are compared only in leaves that differ: those of equal
+leaves are dropped by the join that names the differing ones.
 """
 
 from __future__ import annotations
@@ -12,15 +15,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnlake.session import blank_to_null
+from vulnlake.session import blank_to_null, reliable_checkpoint
 
-#: Fan-out of the tree and its levels below the root: FAN ** LEVELS leaves.
-FAN, LEVELS = 64, 2
+#: Fan-out of the tree, and keys a leaf should hold on average.
+FAN, LEAF_KEYS = 64, 4
+#: Levels below the root.
+LEVELS = range(2, 6)
+
+
+def tree_levels(entries: DataFrame, snapshots: int) -> int:
+    """Levels of a tree for the keys of an average snapshot; the rows are counted
+    from the files' footers."""
+    keys = entries.count() / max(1, snapshots)
+    return next((n for n in LEVELS if FAN**n * LEAF_KEYS >= keys), LEVELS[-1])
 
 
 def complete_order(snapshots: DataFrame) -> DataFrame:
-    """``source_code, snapshot_id, place, later_id``: complete snapshots in order
-    of delivery, with the complete one after each (null for the last).
+    """``source_code, snapshot_id, place``: complete snapshots in order of delivery.
 
     A pair listed twice counts once, as first delivered. The table holds a row
     per delivery, not per entry.
@@ -32,12 +43,11 @@ def complete_order(snapshots: DataFrame) -> DataFrame:
         "source_code",
         "snapshot_id",
         F.row_number().over(by_feed).cast("bigint").alias("place"),
-        F.lead("snapshot_id").over(by_feed).alias("later_id"),
     )
 
 
-def snapshot_states(entries: DataFrame, order: DataFrame, key: str, row: str, active: str, compared: list[str]) -> DataFrame:
-    """Present entries: ``source_code, place, later_id, entry_key, leaf, digest``.
+def snapshot_states(entries: DataFrame, order: DataFrame, key: str, row: str, active: str, compared: list[str], leaves: int) -> DataFrame:
+    """Present entries: ``source_code, leaf, place, entry_key, digest``.
 
     Of several rows of an entry in a snapshot the one with the highest ``row``
     counts; it is present unless ``active`` is false. The digest covers the
@@ -50,20 +60,20 @@ def snapshot_states(entries: DataFrame, order: DataFrame, key: str, row: str, ac
         F.col(key).alias("entry_key"),
         F.struct(F.col(row).alias("row"), F.coalesce(F.col(active), F.lit(True)).alias("on"), content.alias("digest")).alias("v"),
     )
-    last = rows.join(order, ["source_code", "snapshot_id"]).groupBy("source_code", "place", "later_id", "entry_key").agg(F.max("v").alias("v"))
-    leaf = F.pmod(F.xxhash64("source_code", "entry_key"), F.lit(FAN**LEVELS)).cast("int")
-    return last.where("v.on").select("source_code", "place", "later_id", "entry_key", leaf.alias("leaf"), F.col("v.digest").alias("digest"))
+    leaf = F.pmod(F.xxhash64("source_code", "entry_key"), F.lit(leaves)).cast("int")
+    placed = rows.join(order.select("source_code", "snapshot_id", "place"), ["source_code", "snapshot_id"]).withColumn("leaf", leaf)
+    last = placed.repartition("source_code", "leaf").groupBy("source_code", "leaf", "place", "entry_key").agg(F.max("v").alias("v"))
+    return last.where("v.on").select("source_code", "leaf", "place", "entry_key", F.col("v.digest").alias("digest"))
 
 
-def _leaves(states: DataFrame) -> DataFrame:
-    """Order-free digests per leaf, with partial sums before the shuffle."""
+def leaf_digests(states: DataFrame) -> DataFrame:
+    """``source_code, place, node, digest``: order-free digests per leaf."""
     one = F.xxhash64("entry_key", "digest")
     two = F.xxhash64("digest", "entry_key", F.lit(1))
-    return states.groupBy("source_code", "place", F.col("leaf").alias("node")).agg(
-        F.md5(
-            F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(one).cast("string"), F.bit_xor(two).cast("string"))
-        ).alias("digest")
+    found = states.groupBy("source_code", "leaf", "place").agg(
+        F.md5(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(one).cast("string"), F.bit_xor(two).cast("string"))).alias("digest")
     )
+    return found.select("source_code", "place", F.col("leaf").alias("node"), "digest")
 
 
 def _above(nodes: DataFrame) -> DataFrame:
@@ -76,24 +86,24 @@ def _above(nodes: DataFrame) -> DataFrame:
 def _differing(level: DataFrame, order: DataFrame, parents: DataFrame | None) -> DataFrame:
     """``source_code, place, node`` of nodes whose digest differs between the
     snapshot at ``place`` and the one before; only below differing parents."""
-    now = level.select("source_code", "place", "node", F.col("digest").alias("now"))
-    then = level.select("source_code", (F.col("place") + 1).alias("place"), "node", F.col("digest").alias("then"))
-    pair = now.join(then, ["source_code", "place", "node"], "full_outer")
-    pair = pair.where((F.col("place") > 1) & ~F.col("now").eqNullSafe(F.col("then")))
-    pair = pair.join(order.select("source_code", "place"), ["source_code", "place"], "left_semi")
+    sides = F.array(F.struct(F.col("place"), F.col("digest").alias("now"), F.lit(None).cast("string").alias("then")), F.struct((F.col("place") + 1).alias("place"), F.lit(None).cast("string").alias("now"), F.col("digest").alias("then")))
+    pair = level.select("source_code", "node", F.explode(sides).alias("s")).select("source_code", "node", "s.*").where("place > 1")
     if parents is not None:
         above = parents.select("source_code", "place", F.col("node").alias("up"))
         pair = pair.withColumn("up", F.floor(F.col("node") / FAN).cast("int")).join(above, ["source_code", "place", "up"], "left_semi")
-    return pair.select("source_code", "place", "node")
+    else:
+        pair = pair.join(order.select("source_code", "place"), ["source_code", "place"], "left_semi")
+    both = pair.groupBy("source_code", "place", "node").agg(F.max("now").alias("now"), F.max("then").alias("then"))
+    return both.where(~F.col("now").eqNullSafe(F.col("then"))).select("source_code", "place", "node")
 
 
-def differing_leaves(states: DataFrame, order: DataFrame) -> DataFrame:
-    """Leaves to compare, found from the root down."""
-    levels = [_leaves(states)]
-    for _ in range(LEVELS):
-        levels.append(_above(levels[-1]))
+def differing_leaves(leaves: DataFrame, order: DataFrame, levels: int) -> DataFrame:
+    """``source_code, place, leaf``: leaves to compare, found from the root down."""
+    tree = [leaves]
+    for _ in range(levels):
+        tree.append(_above(tree[-1]))
     found = None
-    for level in reversed(levels):
+    for level in reversed(tree):
         found = _differing(level, order, found)
     return found.withColumnRenamed("node", "leaf")
 
@@ -108,17 +118,21 @@ def diff_snapshots(
     unlisted snapshots, do not take part. A complete snapshot without rows
     removes everything. Empty tables give an empty result.
     """
-    order = complete_order(snapshots)
-    states = snapshot_states(entries, order, key, row, active, compared)
-    leaves = differing_leaves(states, order)
-    now = states.select("source_code", "place", "entry_key", "leaf", F.col("digest").alias("now"), F.lit(None).cast("string").alias("then"))
-    then = states.where("later_id is not null").select(
-        "source_code", (F.col("place") + 1).alias("place"), "entry_key", "leaf", F.lit(None).cast("string").alias("now"), F.col("digest").alias("then")
+    order = reliable_checkpoint(complete_order(snapshots))
+    levels = tree_levels(entries, order.count())
+    states = reliable_checkpoint(snapshot_states(entries, order, key, row, active, compared, FAN**levels))
+    leaves = differing_leaves(reliable_checkpoint(leaf_digests(states)), order, levels)
+    # A leaf lists the places at which it differs, so a state meets it once, by feed and leaf.
+    listed = leaves.groupBy("source_code", "leaf").agg(F.collect_set("place").alias("places"))
+    none = F.lit(None).cast("string")
+    sides = F.filter(
+        F.array(F.struct(F.col("place"), F.col("digest").alias("now"), none.alias("then")), F.struct((F.col("place") + 1).alias("place"), none.alias("now"), F.col("digest").alias("then"))),
+        lambda side: F.array_contains("places", side["place"]),
     )
-    pairs = now.unionByName(then).join(leaves, ["source_code", "place", "leaf"], "left_semi")
-    compared_pairs = pairs.groupBy("source_code", "place", "entry_key").agg(F.max("now").alias("now"), F.max("then").alias("then"))
+    pairs = states.join(listed, ["source_code", "leaf"]).select("source_code", "leaf", "entry_key", F.explode(sides).alias("s"))
+    both = pairs.groupBy("source_code", "leaf", "s.place", "entry_key").agg(F.max("s.now").alias("now"), F.max("s.then").alias("then"))
     kind = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("then"), "changed")
-    named = compared_pairs.withColumn("change_kind", kind).where("change_kind is not null")
+    named = both.withColumn("change_kind", kind).where("change_kind is not null")
     return named.join(order.select("source_code", "place", "snapshot_id"), ["source_code", "place"]).select(
         "source_code", "entry_key", "snapshot_id", "change_kind"
     )
