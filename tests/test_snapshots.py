@@ -1,6 +1,6 @@
 import random
 
-from vulnlake.operators.snapshots import FAN, LEAF_KEYS, diff_snapshots, differing_leaves, complete_order, leaf_digests, snapshot_states, tree_levels
+from vulnlake.operators.snapshots import FAN, LEAF_KEYS, diff_snapshots, differing_leaves, complete_order, leaf_digests, snapshot_states, tree_levels, with_leaf
 
 COLUMNS = ["title", "url"]
 ENTRY = "exploit_row long, source_code string, source_key string, title string, url string, snapshot_id string, is_active boolean, change_kind string"
@@ -41,7 +41,7 @@ def test_equal_leaves_are_not_compared(spark):
     rows = [(n, "f", f"k{n % 500}", "t", "u", "s1" if n < 500 else "s2", True) for n in range(1000)]
     rows[700] = (*rows[700][:3], "other", *rows[700][4:])
     order = complete_order(spark.createDataFrame(DELIVERIES[:1] + DELIVERIES[2:3], DELIVERY))
-    states = snapshot_states(entries(spark, rows), order, "source_key", "exploit_row", "is_active", COLUMNS, FAN**2)
+    states = with_leaf(snapshot_states(entries(spark, rows), order, "source_key", "exploit_row", "is_active", COLUMNS), 2)
     assert differing_leaves(leaf_digests(states), order, 2).count() == 1
     assert run(spark, rows, DELIVERIES[:1] + DELIVERIES[2:3]) == [("f", "k200", "s2", "changed")]
 
@@ -51,14 +51,13 @@ def test_rows_of_equal_leaves_are_dropped(spark):
     rows = [(n, "f", f"k{n % 3000}", "t", "u", "s1" if n < 3000 else "s2", True) for n in range(6000)]
     rows[4000] = (*rows[4000][:3], "other", *rows[4000][4:])
     order = complete_order(spark.createDataFrame([("f", "s1", 1, True), ("f", "s2", 2, True)], DELIVERY))
-    states = snapshot_states(entries(spark, rows), order, "source_key", "exploit_row", "is_active", COLUMNS, FAN**2)
+    states = with_leaf(snapshot_states(entries(spark, rows), order, "source_key", "exploit_row", "is_active", COLUMNS), 2)
     leaves = differing_leaves(leaf_digests(states), order, 2)
     assert 2 <= states.join(leaves.select("source_code", "leaf"), ["source_code", "leaf"], "left_semi").count() <= 20
 
 
-def test_the_tree_grows_with_the_keys(spark):
-    df = lambda n: spark.range(n)
-    assert tree_levels(df(10), 2) == 2 and tree_levels(df(FAN**2 * LEAF_KEYS * 2 + 2), 2) == 3 and tree_levels(df(0), 0) == 2
+def test_the_tree_grows_with_the_keys():
+    assert tree_levels(10, 2) == 2 and tree_levels(FAN**2 * LEAF_KEYS * 2 + 2, 2) == 3 and tree_levels(0, 0) == 2 and tree_levels(1 << 60, 1) == 5
 
 
 def test_many_snapshots_equal_brute_force(spark):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.text import alias_rank, is_fix_reference, url_domain
-from vulnlake.operators.evidence import top_facts, top_per_key, top_references, top_severity, top_weaknesses
+from vulnlake.operators.evidence import place_in_groups, top_facts, top_per_key, top_references, top_severity, top_weaknesses
 
 #: Rows of each block of a bundle, and characters of a whole bundle: features of N26.
 BUNDLE_CAPS = {"facts": 50, "severity": 12, "references": 40, "weaknesses": 20}
@@ -73,7 +73,7 @@ def grouped_descriptions(records: DataFrame) -> DataFrame:
     folded = F.lower(F.trim(F.regexp_replace("description", r"\s+", " ")))
     named = records.withColumn("folded", folded).where("folded <> ''")
     groups = named.groupBy("vulnerability_key", "folded").agg(F.min("description").alias("description"), F.array_join(F.sort_array(F.collect_set("source_code")), ",").alias("sources"))
-    return groups.withColumn("rn", F.row_number().over(Window.partitionBy("vulnerability_key").orderBy(F.length("folded").desc(), "folded")).cast("bigint")).drop("folded")
+    return place_in_groups(groups, "vulnerability_key", [F.length("folded").desc(), F.col("folded").asc()]).drop("folded")
 
 
 def headlines(records: DataFrame) -> DataFrame:
@@ -90,15 +90,15 @@ def headlines(records: DataFrame) -> DataFrame:
 def ranked_aliases(identifiers: DataFrame) -> DataFrame:
     """Identifiers of a key by family, then by name."""
     distinct = identifiers.select("vulnerability_key", "identifier").distinct().withColumn("family", alias_rank(F.col("identifier")))
-    return top_per_key(distinct, "vulnerability_key", [F.col("family").asc(), F.col("identifier").asc()], 1 << 30).drop("family")
+    return place_in_groups(distinct, "vulnerability_key", [F.col("family").asc(), F.col("identifier").asc()]).drop("family")
 
 
 def triaged_references(references: DataFrame, limit: int = TRIAGE) -> DataFrame:
     """of a key's references those about fixes, the first twelve; all of them
     (also the first twelve) where none is."""
     marked = references.withColumn("fix", is_fix_reference(F.col("url"), F.col("ref_type")))
-    any_fix = F.max("fix").over(Window.partitionBy("vulnerability_key"))
-    kept = marked.withColumn("any_fix", any_fix).where("fix or not any_fix").drop("any_fix", "fix")
+    fixed = marked.groupBy("vulnerability_key").agg(F.max("fix").alias("any_fix"))
+    kept = marked.join(fixed, "vulnerability_key").where("fix or not any_fix").drop("any_fix", "fix")
     return top_per_key(kept.select("vulnerability_key", "url").distinct(), "vulnerability_key", [F.col("url").asc()], limit)
 
 

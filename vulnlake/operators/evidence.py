@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vulnlake.session import input_partitions, reliable_checkpoint
+
 #: Row caps of the blocks of a detail page: the feature of T5.
 DETAIL_CAPS = {
     "components": 200, "facts": 250, "severity": 40, "references": 160, "weaknesses": 80, "records": 120, "descriptions": 40,
@@ -18,6 +20,19 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], limit: int) -> Dat
     return df.withColumn("rn", place.cast("bigint")).where(F.col("rn") <= limit)
 
 
+def place_in_groups(df: DataFrame, key: str, order: list[Column], name: str = "rn") -> DataFrame:
+    """The place of every row in its group, of which no task holds all: rows are
+    range-partitioned by key and order, numbered where they lie, and shifted by
+    the rows of their group in the partitions before. The order must be total."""
+    spread = df.repartitionByRange(input_partitions(df), F.col(key).asc(), *order).sortWithinPartitions(F.col(key).asc(), *order)
+    numbered = reliable_checkpoint(spread.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    runs = numbered.groupBy(key, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = runs.select(F.col(key).alias("__key"), F.col("__part").alias("__run"), (F.coalesce(before, F.lit(0)) + 1 - F.col("__first")).alias("__shift"))
+    joined = numbered.join(shifts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__run")))
+    return joined.withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__key", "__run", "__shift")
+
+
 def _has(column: str) -> Column:
     return F.when(F.coalesce(F.col(column), F.lit("")) != "", 0).otherwise(1).asc()
 

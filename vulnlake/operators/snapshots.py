@@ -2,7 +2,7 @@
 
 Keys of a feed are hashed into ranges, the leaves of a tree with fan-out
 ``FAN``; the tree is as deep as ``LEAF_KEYS`` keys a leaf ask for. Rows are
-shuffled once, by feed and leaf, to the state of each entry in each snapshot,
+shuffled once, by feed and spot of the key, to the state of each entry in each snapshot,
 which is written once: a key and a digest. From there each snapshot gets a
 digest per leaf (summed before the shuffle), and digests of digests above. Trees
 of consecutive snapshots are compared top-down, each level only below nodes that
@@ -23,13 +23,17 @@ FAN, LEAF_KEYS = 64, 4
 LEVELS = range(2, 6)
 
 
-def tree_levels(entries: DataFrame, snapshots: int) -> int:
-    """Levels of a tree for the keys of an average snapshot; the rows are counted
-    from the files' footers."""
-    keys = entries.count() / max(1, snapshots)
+def tree_levels(states: int, snapshots: int) -> int:
+    """Levels of a tree for the keys of an average snapshot."""
+    keys = states / max(1, snapshots)
     return next((n for n in LEVELS if FAN**n * LEAF_KEYS >= keys), LEVELS[-1])
 
 
+def with_leaf(states: DataFrame, levels: int) -> DataFrame:
+    """States with the leaf of a tree of so many levels: their spot, coarser."""
+    return states.withColumn("leaf", F.floor(F.col("spot") / FAN ** (LEVELS[-1] - levels)).cast("int"))
+
+
 def complete_order(snapshots: DataFrame) -> DataFrame:
     """``source_code, snapshot_id, place``: complete snapshots in order of delivery.
 
@@ -46,8 +50,9 @@ def complete_order(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_states(entries: DataFrame, order: DataFrame, key: str, row: str, active: str, compared: list[str], leaves: int) -> DataFrame:
-    """Present entries: ``source_code, leaf, place, entry_key, digest``.
+def snapshot_states(entries: DataFrame, order: DataFrame, key: str, row: str, active: str, compared: list[str]) -> DataFrame:
+    """Present entries: ``source_code, spot, place, entry_key, digest``. A spot is a leaf
+    of the deepest tree.
 
     Of several rows of an entry in a snapshot the one with the highest ``row``
     counts; it is present unless ``active`` is false. The digest covers the
@@ -60,10 +65,10 @@ def snapshot_states(entries: DataFrame, order: DataFrame, key: str, row: str, ac
         F.col(key).alias("entry_key"),
         F.struct(F.col(row).alias("row"), F.coalesce(F.col(active), F.lit(True)).alias("on"), content.alias("digest")).alias("v"),
     )
-    leaf = F.pmod(F.xxhash64("source_code", "entry_key"), F.lit(leaves)).cast("int")
-    placed = rows.join(order.select("source_code", "snapshot_id", "place"), ["source_code", "snapshot_id"]).withColumn("leaf", leaf)
-    last = placed.repartition("source_code", "leaf").groupBy("source_code", "leaf", "place", "entry_key").agg(F.max("v").alias("v"))
-    return last.where("v.on").select("source_code", "leaf", "place", "entry_key", F.col("v.digest").alias("digest"))
+    spot = F.pmod(F.xxhash64("source_code", "entry_key"), F.lit(FAN ** LEVELS[-1])).cast("int")
+    placed = rows.join(order.select("source_code", "snapshot_id", "place"), ["source_code", "snapshot_id"]).withColumn("spot", spot)
+    last = placed.repartition("source_code", "spot").groupBy("source_code", "spot", "place", "entry_key").agg(F.max("v").alias("v"))
+    return last.where("v.on").select("source_code", "spot", "place", "entry_key", F.col("v.digest").alias("digest"))
 
 
 def leaf_digests(states: DataFrame) -> DataFrame:
@@ -119,8 +124,9 @@ def diff_snapshots(
     removes everything. Empty tables give an empty result.
     """
     order = reliable_checkpoint(complete_order(snapshots))
-    levels = tree_levels(entries, order.count())
-    states = reliable_checkpoint(snapshot_states(entries, order, key, row, active, compared, FAN**levels))
+    states = reliable_checkpoint(snapshot_states(entries, order, key, row, active, compared))
+    levels = tree_levels(states.count(), order.count())
+    states = with_leaf(states, levels)
     leaves = differing_leaves(reliable_checkpoint(leaf_digests(states)), order, levels)
     # A leaf lists the places at which it differs, so a state meets it once, by feed and leaf.
     listed = leaves.groupBy("source_code", "leaf").agg(F.collect_set("place").alias("places"))

@@ -2,6 +2,10 @@
 
 ``{name}`` stands for a table. The same text makes the Spark views and, as
 common table expressions, the views of the SQL a query is compared with.
+
+Facts and scores are the line items, all of them, each of a record by its order
+number (those of records without key drop out). One package, pkg-0, has a tenth
+of the facts and a hundredth of the components of bills.
 """
 
 from __future__ import annotations
@@ -29,14 +33,14 @@ FROM {v_identifiers}""",
 SELECT r.source_code, 'raw-' || cast(l.l_orderkey AS string) AS raw_index_id, r.vulnerability_key, r.source_record_id,
   CASE WHEN l.l_suppkey % 5 = 4 THEN 'cpe' ELSE 'package' END AS fact_type,
   CASE l.l_suppkey % 7 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' WHEN 2 THEN 'debian:11' WHEN 3 THEN 'debian:12' WHEN 4 THEN 'cargo' WHEN 5 THEN 'crates.io' ELSE 'cpe' END AS ecosystem,
-  CASE WHEN l.l_partkey % 13 = 0 THEN '' ELSE 'pkg-' || cast(l.l_partkey AS string) END AS package_name,
-  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/pkg-' || cast(l.l_partkey AS string) || '@1.' || cast(l.l_linenumber AS string) END AS purl,
-  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/pkg-' || cast(l.l_partkey AS string) END AS purl_without_version,
-  CASE WHEN l.l_suppkey % 5 = 4 THEN 'cpe:2.3:a:vendor' || cast(l.l_suppkey % 3 AS string) || ':pkg-' || cast(l.l_partkey AS string) || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
+  CASE WHEN l.l_partkey % 13 = 0 THEN '' ELSE l.package END AS package_name,
+  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/' || l.package || '@1.' || cast(l.l_linenumber AS string) END AS purl,
+  CASE WHEN l.l_partkey % 3 = 0 THEN 'pkg:npm/' || l.package END AS purl_without_version,
+  CASE WHEN l.l_suppkey % 5 = 4 THEN 'cpe:2.3:a:vendor' || cast(l.l_suppkey % 3 AS string) || ':' || l.package || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
   CASE l.l_linenumber % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '>= 0' WHEN 3 THEN 'all versions'
     ELSE '>= ' || cast(l.l_linenumber AS string) || '.0, < ' || cast(l.l_partkey % 9 + 1 AS string) || '.5' END AS version_range_raw,
   CASE WHEN l.l_linenumber % 2 = 0 THEN 'ECOSYSTEM' ELSE 'SEMVER' END AS range_type, l.l_returnflag <> 'R' AS vulnerable, l.l_linenumber AS line
-FROM {lineitem} l JOIN {v_records} r ON l.l_orderkey = r.record_no""",
+FROM (SELECT *, l_orderkey % (SELECT max(record_no) + 1 FROM {source_records}) AS owner, 'pkg-' || cast(CASE WHEN l_partkey % 10 = 0 THEN 0 ELSE l_partkey END AS string) AS package FROM {lineitem}) l JOIN {v_records} r ON l.owner = r.record_no""",
     "v_severity": """
 SELECT r.source_code, 'raw-' || cast(l.l_orderkey AS string) AS raw_index_id, r.vulnerability_key, r.source_record_id, 'cvss' AS scoring_system,
   CASE WHEN l.l_linenumber % 3 = 0 THEN '2.0' ELSE '3.1' END AS scoring_version,
@@ -44,7 +48,7 @@ SELECT r.source_code, 'raw-' || cast(l.l_orderkey AS string) AS raw_index_id, r.
   CASE WHEN l.l_suppkey % 9 = 0 THEN NULL ELSE cast(l.l_partkey % 101 AS double) / 10 END AS score,
   CASE WHEN l.l_suppkey % 9 = 0 OR l.l_partkey % 11 = 0 THEN NULL WHEN l.l_partkey % 101 >= 90 THEN 'CRITICAL' WHEN l.l_partkey % 101 >= 70 THEN 'HIGH' ELSE 'MEDIUM' END AS severity_label,
   l.l_linenumber AS line
-FROM {lineitem} l JOIN {v_records} r ON l.l_orderkey = r.record_no WHERE l.l_linenumber <= 3""",
+FROM (SELECT *, l_orderkey % (SELECT max(record_no) + 1 FROM {source_records}) AS owner, 'pkg-' || cast(CASE WHEN l_partkey % 10 = 0 THEN 0 ELSE l_partkey END AS string) AS package FROM {lineitem}) l JOIN {v_records} r ON l.owner = r.record_no WHERE l.l_linenumber <= 3""",
     "v_references": """
 SELECT source_code, 'raw-' || cast(record_no AS string) AS raw_index_id, vulnerability_key, source_record_id, source_url AS url, lower(trim(source_url)) AS normalized_url,
   CASE WHEN record_no % 3 = 0 THEN 'ADVISORY' WHEN record_no % 3 = 1 THEN 'FIX' END AS ref_type
@@ -56,19 +60,24 @@ FROM {v_records} WHERE record_no % 2 = 0""",
 SELECT 'first-epss' AS source_code, 'CVE-2024-' || CASE WHEN event_id < 100000 THEN lpad(cast(event_id AS string), 5, '0') ELSE cast(event_id AS string) END AS vulnerability_key, 'epss' AS score_type,
   cast((event_id * 37) % 1000 AS double) / 1000 AS score, cast((event_id * 91) % 1000 AS double) / 1000 AS percentile, '2026-02-01' AS observed_at, event_id
 FROM {events} WHERE event_id % 3 <> 0""",
+    "v_threat_feed": """
+SELECT CASE WHEN event_id % 90 = 4 THEN 'cve-' || cast(event_id AS string) ELSE vulnerability_key END AS vulnerability_key, CASE WHEN event_id % 50 = 1 THEN 1.5 WHEN event_id % 60 = 2 THEN NULL ELSE score END AS score,
+  CASE WHEN event_id % 70 = 2 THEN -0.1 ELSE percentile END AS percentile FROM {v_threat}""",
+    "v_identifiers_shared": """
+SELECT identifier, vulnerability_key FROM {v_identifiers} UNION ALL SELECT identifier, 'OTHER-' || substr(md5(identifier), 2, 1) FROM {v_identifiers} WHERE substr(md5(identifier), 1, 1) = '0'""",
     "v_threat_new": """
 SELECT 'CVE-2024-' || CASE WHEN event_id < 100000 THEN lpad(cast(event_id AS string), 5, '0') ELSE cast(event_id AS string) END AS vulnerability_key,
   CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE cast((event_id * 37) % 1000 AS double) / 1000 END AS score, cast((event_id * 91) % 1000 AS double) / 1000 AS percentile
 FROM {events} WHERE event_id % 4 <> 0""",
     "v_components": """
-SELECT 'C-' || cast(p_partkey AS string) AS component_id, 'S-' || cast(p_partkey % 5 AS string) AS sbom_id, 'pkg-' || cast(p_partkey AS string) AS name,
-  cast(p_size % 9 + 1 AS string) || '.2' AS version,
-  CASE WHEN p_partkey % 4 = 0 THEN 'pkg:npm/pkg-' || cast(p_partkey AS string) END AS purl,
-  CASE WHEN p_partkey % 4 = 1 THEN 'cpe:2.3:a:vendor' || cast(p_partkey % 3 AS string) || ':pkg-' || cast(p_partkey AS string) || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
-  CASE WHEN p_partkey % 4 = 2 THEN 'pkg-' || cast(p_partkey AS string) END AS source_package_name,
-  CASE WHEN p_partkey % 4 = 1 THEN 'pkg-' || cast(p_partkey AS string) END AS cpe_product,
+SELECT 'C-' || cast(p_partkey AS string) AS component_id, 'S-' || cast(p_partkey % 5 AS string) AS sbom_id, package AS name,
+  CASE WHEN p_partkey % 50 = 7 THEN 'c0ffee' || cast(p_partkey % 9 AS string) ELSE cast(p_size % 9 + 1 AS string) || '.2' END AS version,
+  CASE WHEN p_partkey % 4 = 0 THEN 'pkg:npm/' || package END AS purl,
+  CASE WHEN p_partkey % 4 = 1 THEN 'cpe:2.3:a:vendor' || cast(p_partkey % 3 AS string) || ':' || package || ':*:*:*:*:*:*:*:*' END AS cpe23_uri,
+  CASE WHEN p_partkey % 4 = 2 THEN package END AS source_package_name,
+  CASE WHEN p_partkey % 4 = 1 THEN package END AS cpe_product,
   CASE p_partkey % 3 WHEN 0 THEN 'debian' WHEN 1 THEN 'npm' ELSE NULL END AS ecosystem
-FROM {part}""",
+FROM (SELECT *, 'pkg-' || cast(CASE WHEN p_partkey % 97 = 0 THEN 0 ELSE p_partkey END AS string) AS package FROM {part})""",
 }
 
 _NAME = re.compile(r"\{([a-z]\w*)\}")

@@ -95,8 +95,8 @@ def substring_search(vulnerabilities: DataFrame, relations: DataFrame, text: str
     fits = lambda c: F.coalesce(F.lower(c).like(pattern), F.lit(False))
     related = relations.where(fits("related_identifier")).select(F.col("vulnerability_id").alias("id")).distinct()
     direct = reduce(lambda a, b: a | b, (fits(c) for c in ("primary_identifier", "title", "identifiers_json")))
-    ids = vulnerabilities.where(direct).select("id").unionByName(related).distinct()
-    return vulnerabilities.join(ids, "id", "left_semi")
+    found = vulnerabilities.join(related.withColumn("__related", F.lit(True)), "id", "left")
+    return found.where(direct | F.coalesce("__related", F.lit(False))).drop("__related")
 
 
 def resolve_identifier(wanted: DataFrame, vulnerabilities: DataFrame, owners: DataFrame, relations: DataFrame) -> DataFrame:

@@ -61,6 +61,10 @@ _SQL = {
     "d13_grouped_descriptions": r"""SELECT vulnerability_key, description, sources, row_number() OVER (PARTITION BY vulnerability_key ORDER BY length(folded) DESC, folded) AS rn FROM (
   SELECT vulnerability_key, folded, min(description) AS description, string_agg(DISTINCT source_code, ',' ORDER BY source_code) AS sources
   FROM (SELECT *, lower(trim(regexp_replace(description, '\s+', ' ', 'g'))) AS folded FROM {v_records}) WHERE folded <> '' GROUP BY 1, 2)""",
+    "d15_headlines": r"""SELECT vulnerability_key, headline FROM (SELECT vulnerability_key, t AS headline, row_number() OVER (PARTITION BY vulnerability_key ORDER BY CASE WHEN length(t) < 12 OR regexp_matches(lower(t), '^(untitled|unknown|n/a|cve-\d+-\d+)$') THEN 25 ELSE 0 END
+  - CASE WHEN source_code IN ('ghsa', 'osv', 'npm-advisory') THEN 30 WHEN source_code IN ('nvd-cve', 'cve-list-v5') THEN 20 ELSE 10 END, length(t), t) AS rn FROM (SELECT *, trim(title) AS t FROM {v_records}) WHERE t <> '') WHERE rn = 1""",
+    "f52_triaged_references": """SELECT vulnerability_key, url, row_number() OVER (PARTITION BY vulnerability_key ORDER BY url) AS rn FROM (SELECT DISTINCT vulnerability_key, url FROM (
+  SELECT *, max(fix) OVER (PARTITION BY vulnerability_key) AS any_fix FROM (SELECT *, regexp_matches(lower(concat_ws(' ', url, ref_type)), 'advisory|patch|vendor|errata') AS fix FROM {v_references})) WHERE fix OR NOT any_fix) QUALIFY rn <= 12""",
     "d16_ranked_aliases": """SELECT vulnerability_key, identifier, row_number() OVER (PARTITION BY vulnerability_key ORDER BY CASE WHEN starts_with(identifier, 'CVE-') THEN 0 WHEN starts_with(identifier, 'GHSA-') THEN 1
   WHEN starts_with(identifier, 'OSV-') THEN 2 ELSE 3 END, identifier) AS rn FROM (SELECT DISTINCT vulnerability_key, identifier FROM {v_identifiers})""",
     "f53_relation_groups": """SELECT DISTINCT * FROM (SELECT vulnerability_key, upper(substr(relation_type, 1, 1)) || substr(relation_type, 2) AS label, upper(related_identifier) AS identifier FROM {v_relations}

@@ -57,15 +57,33 @@ QUERIES = {
     "f54_source_group": lambda s, d: view(s, d, "v_records").groupBy(X.source_group(F.col("source_code")).alias("source_group")).agg(F.count("*").alias("n")),
 }
 
-MATCHES = """SELECT DISTINCT sbom_id, component_id, vulnerability_id, match_basis, normalized_range, version, ecosystem FROM (
-SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'cpe-exact' AS match_basis, a.normalized_range, a.ecosystem FROM s JOIN a ON s.cpe23_uri = a.cpe23_uri
-UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'purl', a.normalized_range, a.ecosystem FROM s JOIN a ON s.purl = regexp_replace(a.purl, '@[^/@]*$', '')
-UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'source-package', a.normalized_range, a.ecosystem FROM s JOIN a ON lower(s.source_package_name) = lower(a.package_name) AND ECO
-UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'display-name', a.normalized_range, a.ecosystem FROM s JOIN a ON lower(s.name) = lower(a.display_name) AND ECO WHERE s.purl IS NULL AND s.cpe23_uri IS NULL AND s.source_package_name IS NULL
-UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'package-name', a.normalized_range, a.ecosystem FROM s JOIN a ON lower(s.name) = lower(a.package_name) AND ECO WHERE s.purl IS NULL AND s.cpe23_uri IS NULL AND s.source_package_name IS NULL
-UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'cpe-product', a.normalized_range, a.ecosystem FROM s JOIN a ON lower(s.cpe_product) = lower(a.package_name) AND lower(a.ecosystem) = 'cpe' WHERE s.cpe23_uri IS NOT NULL)"""
+MATCHES = """SELECT DISTINCT sbom_id, component_id, vulnerability_id, match_basis, normalized_range, version, cpe23_uri, ecosystem, a_cpe, range_type FROM (
+SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'cpe-exact' AS match_basis, a.normalized_range, a.ecosystem, a.cpe23_uri AS a_cpe, a.range_type FROM s JOIN a ON s.cpe23_uri = a.cpe23_uri
+UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'purl', a.normalized_range, a.ecosystem, a.cpe23_uri, a.range_type FROM s JOIN a ON s.purl = regexp_replace(a.purl, '@[^/@]*$', '')
+UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'source-package', a.normalized_range, a.ecosystem, a.cpe23_uri, a.range_type FROM s JOIN a ON lower(s.source_package_name) = lower(a.package_name) AND ECO
+UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'display-name', a.normalized_range, a.ecosystem, a.cpe23_uri, a.range_type FROM s JOIN a ON lower(s.name) = lower(a.display_name) AND ECO WHERE s.purl IS NULL AND s.cpe23_uri IS NULL AND s.source_package_name IS NULL
+UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'package-name', a.normalized_range, a.ecosystem, a.cpe23_uri, a.range_type FROM s JOIN a ON lower(s.name) = lower(a.package_name) AND ECO WHERE s.purl IS NULL AND s.cpe23_uri IS NULL AND s.source_package_name IS NULL
+UNION ALL SELECT s.*EXCLUDE (ecosystem), a.vulnerability_id, 'cpe-product', a.normalized_range, a.ecosystem, a.cpe23_uri, a.range_type FROM s JOIN a ON lower(s.cpe_product) = lower(a.package_name) AND lower(a.ecosystem) = 'cpe' WHERE s.cpe23_uri IS NOT NULL)"""
 MATCHES = MATCHES.replace("ECO", "(s.ecosystem IS NULL OR lower(a.ecosystem) = lower(s.ecosystem) OR (NOT contains(s.ecosystem, ':') AND starts_with(lower(a.ecosystem), lower(s.ecosystem) || ':')))")
 HEAD = f"WITH a AS ({COMPONENTS}), s AS (SELECT * FROM {{v_components}}), m AS ({MATCHES}) "
+# What a match is judged by: of the rows of one component, vulnerability, range and basis, the least by range type, ecosystem and CPE name.
+JUDGED = """SELECT sbom_id, component_id, vulnerability_id, match_basis AS basis, normalized_range, min(version) AS version, min(cpe23_uri) AS cpe,
+  nullif(min(coalesce(ecosystem, '')) FILTER (WHERE first), '') AS a_ecosystem, nullif(min(coalesce(a_cpe, '')) FILTER (WHERE first), '') AS a_cpe FROM (
+  SELECT *, row_number() OVER (PARTITION BY sbom_id, component_id, vulnerability_id, match_basis, normalized_range ORDER BY coalesce(range_type, ''), coalesce(ecosystem, ''), coalesce(a_cpe, '')) = 1 AS first FROM m) GROUP BY 1, 2, 3, 4, 5"""
+IS_COMMIT = "regexp_full_match(version, '[0-9a-f]{7,40}')"
+MAJOR = "cast(split_part(version, '.', 1) AS INTEGER)"
+RANGE_HOLDS = f"""CASE WHEN normalized_range = 'all versions' OR {IS_COMMIT} THEN NULL WHEN normalized_range = '>= 0' THEN true
+  ELSE {MAJOR} >= cast(regexp_extract(normalized_range, '>= ([0-9]+)', 1) AS INTEGER) AND {MAJOR} <= cast(regexp_extract(normalized_range, '< ([0-9]+)', 1) AS INTEGER) END"""
+SAME_CPE = "CASE WHEN cpe IS NOT NULL AND a_cpe IS NOT NULL THEN split_part(cpe, ':', 4) = split_part(a_cpe, ':', 4) AND split_part(cpe, ':', 5) = split_part(a_cpe, ':', 5) END"
+EVALUATED = f"""SELECT *, CASE WHEN hit IS NULL AND coalesce(normalized_range, '') <> '' AND {IS_COMMIT} AND basis IN ('purl', 'source-package', 'cpe-exact') THEN 'possible-' || basis ELSE basis END AS match_basis, hit AS version_matched
+FROM (SELECT *, CASE WHEN coalesce(normalized_range, '') <> '' THEN {RANGE_HOLDS} ELSE {SAME_CPE} END AS hit FROM j)"""
+RANK = "list_position(['cpe-exact', 'purl', 'source-package', 'display-name', 'package-name', 'cpe-product'], basis)"
+BEST = f"""SELECT sbom_id, component_id, vulnerability_id, md5(component_id || '|' || vulnerability_id) AS match_id, match_basis, version_matched, normalized_range FROM (
+  SELECT *, row_number() OVER (PARTITION BY sbom_id, component_id, vulnerability_id ORDER BY CASE WHEN version_matched THEN 0 ELSE 1 END, {RANK}, length(coalesce(normalized_range, '')), coalesce(normalized_range, ''), match_basis) AS rn
+  FROM e WHERE coalesce(version_matched, true)) WHERE rn = 1"""
+DECIDED = HEAD.rstrip() + f", j AS ({JUDGED}), e AS ({EVALUATED}), b AS ({BEST}) "
+CELL = lambda c: f"'<td>' || replace(replace(replace(replace(replace(coalesce(cast({c} AS VARCHAR), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') || '</td>'"
+CELLS = " || ".join(map(CELL, ["s.name", "s.version", "s.ecosystem", "s.purl", "f.vulnerability_key", "f.title", "f.severity_label", "f.max_cvss_score", "f.normalized_range", "f.version_matched", "f.match_basis", "f.cwes", "f.urls"]))
 PAIRS = HEAD + "SELECT DISTINCT sbom_id, component_id, vulnerability_id FROM m"
 BASIC = ", ".join(CANDIDATE)
 DIGEST = "sha256('vulnerability:' || vulnerability_key)"
@@ -76,6 +94,15 @@ _SQL = {
     "a17_sbom_counters": HEAD + "SELECT s.sbom_id, s.component_id, cast(count(x.vulnerability_id) AS INTEGER) AS vuln_count FROM s LEFT JOIN (SELECT DISTINCT component_id, vulnerability_id FROM m) x ON s.component_id = x.component_id GROUP BY 1, 2",
     "a17_sbom_totals": HEAD + "SELECT s.sbom_id, count(DISTINCT m.vulnerability_id) AS matched_count FROM s LEFT JOIN m ON s.sbom_id = m.sbom_id GROUP BY 1",
     "t06_findings": HEAD + f"SELECT x.component_id, c.primary_identifier, c.max_cvss_score FROM (SELECT DISTINCT sbom_id, component_id, vulnerability_id FROM m WHERE sbom_id = 'S-1') x JOIN ({CATALOG}) c ON x.vulnerability_id = c.id ORDER BY c.max_cvss_score DESC NULLS LAST, c.primary_identifier, x.component_id LIMIT 500",
+    "f27_evaluate_matches": DECIDED + f"SELECT {BASIC}, version_matched FROM e",
+    "d10_best_matches": DECIDED + "SELECT sbom_id, component_id, vulnerability_id, match_id, match_basis, version_matched FROM b",
+    "a27_sbom_quality": DECIDED + """SELECT coalesce(lower(a_ecosystem), 'unknown') AS ecosystem, count(*) AS findings, cast(count_if(version_matched) AS BIGINT) AS affected, cast(count_if(NOT version_matched) AS BIGINT) AS not_affected,
+  cast(count_if(version_matched IS NULL) AS BIGINT) AS unknown, cast(count_if(coalesce(normalized_range, '') = '') AS BIGINT) AS no_range, count(DISTINCT component_id) AS components_with_findings,
+  round_even((count(*) - count_if(coalesce(normalized_range, '') = '')) / count(*), 4) AS actionable_range_ratio FROM e GROUP BY 1""",
+    "s17_export_rows": DECIDED + f""", c AS ({CATALOG}), f AS (SELECT b.*, c.primary_identifier AS vulnerability_key, c.title, c.severity_label, c.max_cvss_score, w.cwes, u.urls FROM b JOIN c ON b.vulnerability_id = c.id
+  LEFT JOIN (SELECT vulnerability_key, coalesce(string_agg(DISTINCT weakness_id, ', ' ORDER BY weakness_id), '') AS cwes FROM {{v_weaknesses}} GROUP BY 1) w ON c.primary_identifier = w.vulnerability_key
+  LEFT JOIN (SELECT vulnerability_key, string_agg(DISTINCT url, ', ' ORDER BY url) AS urls FROM {{v_references}} GROUP BY 1) u ON c.primary_identifier = u.vulnerability_key)
+SELECT s.sbom_id, s.component_id, f.vulnerability_key, '<tr>' || {CELLS} || '</tr>' AS html_row FROM s LEFT JOIN f ON s.component_id = f.component_id""",
     "f26_commit_like": "SELECT record_no, coalesce(regexp_full_match(lower(substr(record_hash, 1, 12)), '[0-9a-f]{7,40}'), false) AS is_commit FROM {v_records}",
     "f01_normalize": "SELECT record_no, upper(trim(vulnerability_key, ' 	')) AS norm, coalesce(regexp_full_match(upper(trim(vulnerability_key, ' 	')), 'CVE-[0-9]{4}-[0-9]{4,}'), false) AS is_cve FROM {source_records}",
     "f02_valid_identifiers": """SELECT DISTINCT identifier, coalesce(length(trim(identifier, ' 	')) BETWEEN 4 AND 160 AND CASE WHEN starts_with(upper(trim(identifier, ' 	')), 'CVE-') THEN regexp_full_match(upper(trim(identifier, ' 	')), 'CVE-[0-9]{4}-[0-9]{4,}')

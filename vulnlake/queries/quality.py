@@ -12,7 +12,6 @@ from vulnlake.queries.catalog import CATALOG, COMPONENTS, OWNERS, _catalog
 from vulnlake.operators.catalog import alias_owners
 
 
-
 def _changed_records(records):
     """The last record per key, one with an odd number if there is one, is known; a quarter by number is not. Even numbers come in with another hash, odd ones as known."""
     known = E.keep_last(records, ["source_code", "source_record_id"], [F.col("record_no") % 2, "record_no"])
@@ -20,6 +19,12 @@ def _changed_records(records):
     return D.changed_records(known.where("record_no % 4 <> 0"), incoming)
 
 
+def _stale_owners(owners):
+    """Owners of which a sixteenth still names the key before a rename."""
+    old = F.substring(F.md5("identifier"), 1, 1) == "0"
+    return owners.withColumn("vulnerability_key", F.when(old, F.concat(F.lit("OLD-"), "vulnerability_key")).otherwise(F.col("vulnerability_key")))
+
+
 FACT_COLUMNS = ["vulnerability_key", "source_code", "package_name", "raw_index_id", "line", "rn"]
 QUERIES = {
     "w03_top_facts": lambda s, d: E.top_facts(view(s, d, "v_facts"), 3).select(*FACT_COLUMNS),
@@ -42,7 +47,7 @@ QUERIES = {
     "a11_matching_quality": lambda s, d: Q.matching_quality(view(s, d, "v_facts")),
     "a12_source_coverage": lambda s, d: Q.source_coverage(view(s, d, "v_records")),
     "a13_ecosystem_coverage": lambda s, d: Q.ecosystem_coverage(view(s, d, "v_facts")),
-    "a15_multi_owner_identifiers": lambda s, d: Q.multi_owner_identifiers(view(s, d, "v_identifiers")),
+    "a15_multi_owner_identifiers": lambda s, d: Q.multi_owner_identifiers(view(s, d, "v_identifiers_shared")),
     "a16_snapshot_stats": lambda s, d: Q.snapshot_stats(view(s, d, "exploits")),
     "a19_table_counts": lambda s, d: Q.table_counts({n: view(s, d, n) for n in ("source_records", "source_record_identifiers", "exploits", "evidence_records", "documents")}),
     "a20_audit_catalog": lambda s, d: Q.audit_catalog(_catalog(s, d)[0]),
@@ -52,11 +57,11 @@ QUERIES = {
     "a24_source_gaps": lambda s, d: Q.source_gaps(view(s, d, "v_records")),
     "a25_orphans": lambda s, d: Q.orphans(view(s, d, "v_facts"), view(s, d, "v_weaknesses"), "vulnerability_key"),
     "a26_version_distribution": lambda s, d: Q.version_distribution(view(s, d, "v_records")),
-    "j16_mismatched_owners": lambda s, d: Q.mismatched_owners(alias_owners(view(s, d, "v_identifiers"), view(s, d, "v_records")), _catalog(s, d)[0]),
+    "j16_mismatched_owners": lambda s, d: Q.mismatched_owners(_stale_owners(alias_owners(view(s, d, "v_identifiers"), view(s, d, "v_records"))), _catalog(s, d)[0]),
     "j17_compare_sets": lambda s, d: Q.compare_sets(view(s, d, "v_facts"), view(s, d, "v_weaknesses"), "vulnerability_key"),
     "a31_alias_histogram": lambda s, d: Q.counts_of(view(s, d, "v_identifiers").groupBy("source_code", "source_record_id").agg(F.count_distinct("identifier").alias("aliases")), F.col("aliases"), "aliases"),
     "a32_exploits_by_source": lambda s, d: Q.counts_of(view(s, d, "exploits"), F.col("source_code"), "source_code"),
-    "p24_bad_scores": lambda s, d: Q.bad_scores(view(s, d, "v_threat")).select("vulnerability_key", "score"),
+    "p24_bad_scores": lambda s, d: Q.bad_scores(view(s, d, "v_threat_feed")).select("vulnerability_key", "score"),
     "p25_changed_records": lambda s, d: _changed_records(view(s, d, "v_records")).select("record_no"),
     "m01_replace_by_keys": lambda s, d: D.replace_by_keys(view(s, d, "v_facts"), view(s, d, "v_facts").where("line = 1 and source_code = 'osv'"), ["source_code", "source_record_id"]).select("source_code", "source_record_id", "raw_index_id", "line"),
     "m03_reset_source": lambda s, d: D.reset_source(view(s, d, "v_records"), "osv").select("source_code", "record_no"),
@@ -100,7 +105,7 @@ SELECT DISTINCT * FROM (SELECT vulnerability_key, 'out' AS direction, relation_t
   cast(count_if(coalesce(version_range_raw, '') <> '' AND NOT regexp_matches(version_range_raw, '(<=|>=|==|=|<|>)')) AS BIGINT) AS unparseable FROM {v_facts} GROUP BY 1""",
     "a12_source_coverage": "SELECT source_code, count(*) AS records, count(DISTINCT vulnerability_key) AS keys, max(nullif(modified_at, '')) AS last_modified FROM {v_records} GROUP BY 1",
     "a13_ecosystem_coverage": "SELECT ecosystem, count(*) AS facts, cast(count_if(vulnerable) AS BIGINT) AS vulnerable_facts, cast(count_if(coalesce(version_range_raw, '') <> '') AS BIGINT) AS ranged_facts FROM {v_facts} GROUP BY 1",
-    "a15_multi_owner_identifiers": "SELECT identifier, count(DISTINCT vulnerability_key) AS owners FROM {v_identifiers} GROUP BY 1 HAVING count(DISTINCT vulnerability_key) > 1",
+    "a15_multi_owner_identifiers": "SELECT identifier, count(DISTINCT vulnerability_key) AS owners FROM {v_identifiers_shared} GROUP BY 1 HAVING count(DISTINCT vulnerability_key) > 1",
     "a16_snapshot_stats": "SELECT source_code, count(*) AS active, count(DISTINCT raw_index_id) AS raw_ids FROM {exploits} WHERE coalesce(is_active, true) GROUP BY 1",
     "a19_table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ("source_records", "source_record_identifiers", "exploits", "evidence_records", "documents")),
     "a20_audit_catalog": f"SELECT count(*) AS n_rows, cast({BLANK('title')} AS BIGINT) AS blank_titles, cast({BLANK('description')} AS BIGINT) AS blank_descriptions, cast(count_if(affected_component_count = 0) AS BIGINT) AS without_components FROM ({CATALOG})",
@@ -111,12 +116,12 @@ SELECT DISTINCT * FROM (SELECT vulnerability_key, 'out' AS direction, relation_t
     "a24_source_gaps": f"SELECT source_code, count(*) AS records, cast({BLANK('title')} AS BIGINT) AS blank_titles, cast({BLANK('description')} AS BIGINT) AS blank_descriptions, cast({BLANK('source_url')} AS BIGINT) AS blank_urls FROM {{v_records}} GROUP BY 1",
     "a25_orphans": "SELECT count(*) AS n_rows, cast(count_if(vulnerability_key NOT IN (SELECT vulnerability_key FROM {v_weaknesses})) AS BIGINT) AS orphans, count(vulnerability_key) - count(DISTINCT vulnerability_key) AS repeats FROM {v_facts}",
     "a26_version_distribution": "SELECT coalesce(normalizer_version, 'none') AS normalizer_version, count(*) AS records FROM {v_records} GROUP BY 1",
-    "j16_mismatched_owners": f"SELECT o.identifier, o.vulnerability_key, c.primary_identifier FROM ({OWNERS}) o JOIN ({CATALOG}) c ON o.vulnerability_id = c.id WHERE o.vulnerability_key <> c.primary_identifier",
+    "j16_mismatched_owners": f"SELECT o.identifier, o.vulnerability_key, c.primary_identifier FROM (SELECT identifier, vulnerability_id, CASE WHEN substr(md5(identifier), 1, 1) = '0' THEN 'OLD-' || vulnerability_key ELSE vulnerability_key END AS vulnerability_key FROM ({OWNERS})) o JOIN ({CATALOG}) c ON o.vulnerability_id = c.id WHERE o.vulnerability_key <> c.primary_identifier",
     "j17_compare_sets": """SELECT coalesce(a.k, b.k) AS vulnerability_key, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side
 FROM (SELECT DISTINCT vulnerability_key AS k FROM {v_facts}) a FULL OUTER JOIN (SELECT DISTINCT vulnerability_key AS k FROM {v_weaknesses}) b ON a.k = b.k""",
     "a31_alias_histogram": "SELECT aliases, count(*) AS n_rows FROM (SELECT source_code, source_record_id, count(DISTINCT identifier) AS aliases FROM {v_identifiers} GROUP BY 1, 2) GROUP BY 1",
     "a32_exploits_by_source": "SELECT source_code, count(*) AS n_rows FROM {exploits} GROUP BY 1",
-    "p24_bad_scores": "SELECT vulnerability_key, score FROM {v_threat} WHERE NOT coalesce(regexp_matches(vulnerability_key, '^CVE-[0-9]{4}-[0-9]{4,}$') AND score BETWEEN 0 AND 1 AND percentile BETWEEN 0 AND 1, false)",
+    "p24_bad_scores": "SELECT vulnerability_key, score FROM {v_threat_feed} WHERE NOT coalesce(regexp_matches(vulnerability_key, '^CVE-[0-9]{4}-[0-9]{4,}$') AND score BETWEEN 0 AND 1 AND percentile BETWEEN 0 AND 1, false)",
     "p25_changed_records": "SELECT record_no FROM {v_records} WHERE record_no % 2 = 0",
     "m01_replace_by_keys": """WITH fresh AS (SELECT * FROM {v_facts} WHERE line = 1 AND source_code = 'osv') SELECT source_code, source_record_id, raw_index_id, line FROM {v_facts} f
 WHERE NOT EXISTS (SELECT 1 FROM fresh n WHERE n.source_code = f.source_code AND n.source_record_id = f.source_record_id) UNION ALL SELECT source_code, source_record_id, raw_index_id, line FROM fresh""",
