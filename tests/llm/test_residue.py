@@ -51,6 +51,26 @@ def test_matching_at_the_begin_is_searching(pattern):
     assert str(re._parser.parse(pattern.pattern, pattern.flags)[0]) == "(AT, AT_BEGINNING)"
 
 
+def test_every_notice_names_scripts():
+    """The alternatives of the notice pattern, one by one, contain one of the words looked for first."""
+    depth, parts, start, body = 0, [], 0, residue._NOTICE.pattern
+    for n, ch in enumerate(body):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            parts.append(body[start:n])
+            start = n + 1
+    assert len(parts) > 10 and all("script" in p or "脚本" in p for p in [*parts, body[start:]])
+    assert "script" in residue._JS and all(any(w in t for w in residue.SCRIPTS) for t in ("javascript", "java script", "scripting", "js", "client-side code"))
+
+
+def test_every_field_begins_with_a_mark():
+    """What is looked for first is in every field: the first set of each grammar is within it."""
+    fields = ["{{a}}", "${a}", "#{a}", "<%=a%>", "{%block a%}", "<<a>>", "[[a]]", "@@a@@", "__A__", "%A%", "%(a)s", "%%a%%", "%a_b%", "*|A|*", "|*A*|", "{!a}", "##A_B##", "{0}", "<your a>", "<A>", "[TODO a]", "[A]", "XXX-A-XXX", "$A$", "{a}", "[A a]", "{A a}"]
+    found = {residue._GRAMMAR_OF[residue._FIELDS.match(f).lastindex] for f in fields}
+    assert all(residue._FIELD_BEGIN.match(f) and residue._FIELD_MARK.search(f) for f in fields)
+    assert found == set(residue.GRAMMARS)
+
+
 @pytest.mark.parametrize("name", ["title", "body", "head", "user", "username", "file", "path", "line", "hostname", "lang", "input", "config"])
 @pytest.mark.parametrize("frame", ["Dear {{%s}}, hello.", "See {{ %s }} now.", "See [[%s]] now.", "See @@%s@@ now.", "See #{%s} now.", "See <<%s>> now.", "{%% block %s %%}", "See <%%= %s %%> now.", "Set <your %s> now."])
 def test_common_names_are_fields(frame, name):

@@ -27,10 +27,13 @@ from pyspark.sql import types as T
 
 # --- fixed values ---------------------------------------------------------
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+){0,5}"
+#: Names with a member, an index or a filter after them.
+_PATH = rf"{_NAME}(?:\.[A-Za-z_]\w*|\[\s*[\"']?[\w ]{{1,40}}[\"']?\s*\])*"
+_WORDS = r"[A-Za-z]+(?:[ _\-][A-Za-z]+){0,3}"
 _UPPER = r"[A-Z][A-Z0-9]*(?:[ _.\-][A-Z0-9]+){0,5}"
 #: Grammars of template fields, by delimiters; group 1 is the field's name.
 GRAMMARS = {
-    "mustache": rf"\{{\{{\{{?\s*[#/^>&]?\s*({_NAME})(?:\s*\|[^}}\n]{{0,40}})?\s*\}}?\}}\}}",
+    "mustache": rf"\{{\{{\{{?\s*[#/^>&]?\s*(?:(?:if|unless|each|with)\s+)?({_PATH})(?:\s*\|[^}}\n]{{0,40}})?\s*\}}?\}}\}}",
     "dollar": rf"\$\{{\s*({_NAME})\s*\}}",
     "hash": rf"#\{{\s*({_NAME})\s*\}}",
     "erb": rf"<%[=-]?\s*({_NAME})\s*-?%>",
@@ -41,14 +44,28 @@ GRAMMARS = {
     "dunder": rf"(?<![\w])__({_UPPER})__(?!\w)",
     "percent": rf"(?<![\w%])%({_UPPER})%(?![\w%])",
     "python": rf"%\(({_NAME})\)[sd]",
+    "percents": rf"%%\s*({_NAME})\s*%%",
+    "percent_words": r"(?<![\w%])%([A-Za-z]+(?:_[A-Za-z]+)+)%(?![\w%])",
+    "bars": rf"(?:\*\||\|\*)\s*({_NAME})\s*(?:\|\*|\*\|)",
+    "bang": rf"\{{!\s*({_NAME})\s*\}}",
+    "hashes": r"##([A-Z]+(?:_[A-Z]+)+)##",
+    "position": r"(?<![^\s(\[:,;>\-])\{(\d{1,2})\}(?![^\s.,;:!?)\]<\-])",
     "your": rf"<\s*(?:your|insert|enter|add)\s+({_NAME})\s*>",
     "angle": rf"<({_UPPER})>",
     "todo": rf"\[\s*(?:TODO|TBD|FIXME|INSERT|ENTER|ADD|FILL IN|YOUR|PLACEHOLDER)\b\s*:?\s*({_NAME})\s*\]",
-    "bracket": rf"(?<![\w\]])\[({_UPPER})\](?![\w(\[])",
+    "bracket": r"(?<![\w\]])\[([A-Z]+(?:[ _.\-][A-Z]+){0,5})\](?![\w(\[])",
     "crosses": rf"\bX{{3,}}[-_]({_UPPER})[-_]X{{3,}}\b",
     "money": rf"(?<![\w$])\$({_UPPER})\$(?![\w$])",
     "brace": r"(?<![\w{$#%\"':\\])\{([a-z][A-Za-z]*(?:[_.][A-Za-z]+)*)\}(?![\w}\"':])",
+    "label": rf"(?<![\w\]!\\])\[({_WORDS})\](?![\w(\[:])",
+    "label_brace": rf"(?<![\w{{$#%\"':\\=])(?<!= )\{{({_WORDS})\}}(?![\w}}\"':])",
 }
+#: Last words of the names of fields in letters and forms, and first words that say whose.
+LABELS = frozenset(
+    """name firstname lastname fullname surname date time address street city country zip email mail phone telephone company organisation organization product version
+    subject amount price quantity number order account website signature position department recipient sender customer user username contact reference invoice salutation fname lname""".split()
+)
+OWNERS = frozenset("your insert enter add recipient customer client first last full".split())
 _ENVIRONMENT = frozenset(
     """home path user username temp tmp app_root appdata localappdata userprofile systemroot windir programfiles programdata homepath comspec pwd shell lang hostname
     env_user""".split()
@@ -79,12 +96,15 @@ LATIN = frozenset(
     deserunt mollit anim id est laborum""".split()
 )
 #: Words typed to fill space.
-DUMMY = frozenset("foo bar baz qux quux asdf qwer qwerty asdfgh test testing tests 123 1234 blah bla blindtext muster beispiel aaa bbb ccc ddd xxx xx yyy zzz lorem ipsum".split())
+DUMMY = frozenset("foo bar baz qux quux asdf qwer qwerty asdfgh test testing tests 123 1234 blah bla blub blindtext muster beispiel aaa bbb ccc ddd xxx xx yyy zzz lorem ipsum".split())
+#: Words that a table or log repeats.
+ANSWERS = frozenset("yes no true false none null ok on off na n/a low medium high pass fail x".split())
 _FILLER = re.compile(
     r"^(?:(?:this|here) is (?:just |only )?(?:a |an |some )?(?:sample|dummy|placeholder|filler|example|test)\s+(?:text|paragraph|entry|content|page|record|document|description|sentence)\b"
     r"|(?:sample|dummy|placeholder|filler|test) (?:text|paragraph|entry|content|page|record|document|description|sentence)\b(?!\s+(?:is|was|were|are|has|had|in|of)\b)"
     r"|(?:your |the |main |more )?(?:text|contents?|details|description|summary|body|copy) (?:goes here|go here|to follow|to come|to be (?:added|written|supplied|completed)|will be added|coming soon|pending)\b"
-    r"|(?:insert|enter|add|put|type|write) (?:your |the |some )?(?:text|contents?|details|description|summary|copy) here\b"
+    r"|(?:insert|enter|add|put|type|write) (?:your |the |some )?(?:text|contents?|details|description|summary|copy) here\b|click (?:here )?to add (?:text|title|subtitle|notes|content)\W*$"
+    r"|this (?:page|site|section|website) is (?:currently |still )?under construction\b"
     r"|(?:coming soon|under construction|to be (?:announced|added|written|completed)|tbd|todo)\W*$"
     r"|texte provisoire|à remplacer avant publication|hier steht (?:später|bald|noch)\b|testo segnaposto|texto provisional"
     r"|dies ist (?:ein )?(?:blindtext|beispieltext|platzhalter)|(?:blindtext|platzhalter(?:text)?)\b(?=[\s.:]*$)|ceci est un texte (?:de remplissage|d'exemple|factice)|texte (?:de remplissage|factice|à venir)"
@@ -112,6 +132,15 @@ _ERROR_LINE = re.compile(
     r"|^(?:the )?upstream server did not (?:answer|respond)|^checking your browser before|^(?:please )?(?:verify|confirm) (?:that )?you are (?:a )?human"
     r"|^the (?:document|page|file|advisory|resource) you (?:were looking for|requested|are looking for)\b|^rate limit exceeded\b|^retry after \d+ seconds"
     r"|^(?:erreur|fehler|error) \d{3}\s*[:\-–—]|^le serveur a rencontré|^(?:抱歉[，,]\s*)?您(?:访问|请求)的(?:页面|资源)|^系统(?:繁忙|错误|维护)"
+    r"|^(?:oops|whoops|sorry|uh[ -]?oh)\s*[,!.:\-–—]+\s*(?:something went wrong|an? error|you have been blocked|we (?:could|can) ?n[o']t find|this page)\b|^sorry, you have been blocked\b"
+    r"|^your session (?:has |is |was )?(?:expired|timed out|ended|terminated)\b|^(?:please )?(?:sign|log) ?in again\b"
+    r"|^(?:we'?re |we are )?sorry,? (?:but )?an? (?:\w+ )?error (?:has )?occurred\b|^error (?:[45]\d\d|1\d{3}) ?[:\-–—]|^the server encountered an? (?:\w+ )?error\b"
+    r"|^(?:database|db|sql|redis|upstream) connection (?:failed|refused|error|timed out)\b|^(?:could|can)(?:not| not) connect to (?:the )?(?:database|server|upstream|backend)\b"
+    r"|^(?:the |this )?(?:page|document|file|article|content|resource) (?:you (?:are|were) looking for |you requested )?(?:does not|doesn't|no longer) exists?\W*$|^(?:the |this )?(?:page|document|file|article) (?:could not|cannot|can't) be (?:found|located)\W*$"
+    r"|^(?:sidan (?:kunde inte hittas|hittades inte|finns inte)|siden (?:blev |ble )?ikke (?:fundet|funnet)|sivua ei löytynyt|(?:de )?pagina (?:is )?niet gevonden|pagina non trovata|p[áa]gina (?:não|nao) encontrada"
+    r"|nie znaleziono strony|strona nie została znaleziona|stránka nenalezena|az oldal nem található|sayfa bulunamadı|страница не найдена|сторінку не знайдено)\b"
+    r"|^(?:toegang geweigerd|accesso negato|acesso negado|åtkomst nekad|adgang nægtet|odmowa dostępu|přístup odepřen|erişim engellendi|доступ (?:запрещ[её]н|заборонено))\W*$"
+    r"|^(?:errore|erro|fel|fout|błąd|chyba|hata|ошибка|помилка|エラー)\s*\d{3}\b|^(?:お探しの)?ページが見つかりません|^アクセスが拒否|^(?:요청하신 )?페이지를 찾을 수 없습니다|^접근이 거부"
     r"|^something went wrong\b|^an? (?:unexpected |internal |unknown )?error (?:has )?occurred\b.{0,80}$|^(?:please )?try again (?:later|in a few)\b"
     r"|^this (?:page|site) (?:can't|cannot|can’t) be (?:reached|displayed|found)|^no such (?:page|file|advisory|record)\W*$"
     r"|^(?:die )?(?:angeforderte )?seite (?:wurde )?nicht gefunden|^zugriff verweigert\W*$|^page (?:non trouvée|introuvable)|^accès refusé\W*$|^página no encontrada|^acceso denegado\W*$"
@@ -122,12 +151,22 @@ _ERROR_LINE = re.compile(
 _ERROR_OBJECT = re.compile(r"^\s*[\[{].*?[\"'](?:error|errors|message|detail|status|code)[\"']\s*:", re.IGNORECASE)
 _ERROR_VALUE = re.compile(rf"[\"']\s*{_FAULTS}(?!\w*[\"']\s*:\s*[\[{{])|[\"']?(?:code|status)[\"']?\s*:\s*[\"']?[45]\d\d\b", re.IGNORECASE)
 _JS = r"(?:java\s?script|scripts?|scripting|js|client-side (?:code|scripts?|scripting))"
+#: What every notice contains: texts and sentences without are done.
+SCRIPTS = ("script", "js", "client-side", "脚本")
+#: Words that ask to switch something on, in languages other than English.
+_SWITCH_ON = (
+    r"(?:aktivieren|aktiviere|einschalten|activer|activez|autorisez|activar|active|activa|habilite|habilita|habilitar|ative|ativar|habilite|attiva|attivare|attivate|abilita|abilitare|abilitate"
+    r"|aktivera|aktivér|aktiver|aktiviser|slå på|slå til|aktivoi|inschakelen|schakel|aanzetten|zet|włącz\w*|zapněte|povolte|engedélyezze|etkinleştirin|включите|включить|увімкніть"
+    r"|benötigt|erfordert|nécessite|requiert|necesita|requiere|richiede|requer|kräver|kræver|krever|vereist|wymaga|vyžaduje|требует\w*)"
+)
 _NOTICE = re.compile(
     rf"^(?:please[ ,]+|you (?:need|have) to |you must |you should |kindly )?(?:re-?)?(?:enable|activate|turn on|switch on|allow) (?:the use of )?{_JS}\b(?! (?:injection|engine|file|console|code))"
     rf"|^(?:please )?(?:turn|switch) {_JS} on\b"
     rf"|^(?:(?:this|our|the|your) [\w \-]{{1,40}}?|it) (?:requires?|needs?|depends on|relies on) {_JS}\b"
     rf"|^(?:this|our|the) [\w \-]{{1,40}}? (?:only works?|works? only|only runs?|runs? only) with {_JS}\b"
     rf"|^(?:(?:this|our|the) [\w \-]{{1,40}}? )?(?:will not|won't|cannot|can't|can not|does not|doesn't) (?:load|work|run|open|start|be (?:drawn|shown|loaded|displayed|viewed|used|opened|rendered)) (?:properly |correctly )?(?:until|while|without|unless|if|because|as) .{{0,60}}\b{_JS}\b"
+    rf"|^(?:this|our|the) [\w \-]{{1,40}}? works? (?:best|better) with {_JS}\b|^(?:we'?re |we are )?sorry,? but (?:this|our|the) [\w \-]{{1,40}}? (?:doesn't|does not|won't|cannot|can't) work (?:properly )?without {_JS}\b"
+    rf"|^(?=.{{0,200}}\bjava\s?script\b)(?:\S+\s+){{0,12}}?{_SWITCH_ON}\b|^.{{0,80}}java\s?script\s?(?:を)?(?:有効|オン)|^.{{0,80}}java\s?script\s?(?:를|을)?\s?(?:활성화|사용)"
     rf"|^your browser (?:does not|doesn't|did not) (?:support|run|execute|allow) {_JS}\b"
     rf"|^(?:it (?:looks|seems) (?:like|that) )?{_JS} (?:is|are|seems to be|appears to be) (?:currently )?(?:turned off|disabled|not enabled|blocked|switched off|required|not available|unavailable)\b(?:\W*$| in your| by your| to | for | in this| on )"
     rf"|^(?:this|our|the) [\w \-]{{1,40}}? was (?:stopped|blocked) by your script blocker|^noscript\b|^{_JS} must be (?:allowed|enabled|turned on|switched on)"
@@ -140,20 +179,26 @@ _NOTICE = re.compile(
 #: Subjects of prose about a weakness, and reports about such pages.
 _PROSE = re.compile(
     r"\b(?:exploits?|attack(?:er|s)?|payloads?|proof of concept|flaws?|defects?|bug|vulnerabilit\w*|issue|weakness|crash|patch|advisory says|users? (?:were|was|are) told|"
-    r"visitors?|lure|not affected|regression test|audit log|fixed builds|visible symptom|in its logs|marks a)\b",
+    r"visitors?|lure|not affected|regression test|audit log|fixed builds|visible symptom|in its logs|marks a|"
+    r"angreifer|schwachstelle|lücke|attaquant|faille|atacante|vulnerabilidad|falla|mitigat\w*|reduit|réduit)\b",
     re.IGNORECASE,
 )
+#: Names of pages and lists, in which such a word tells nothing.
+_PAGE_NAMES = re.compile(r"\b(?:issue|bug|patch|exploit|vulnerability|weakness|crash|attack)\s+(?:page|tracker|report|list|id|number|entry|record|url|file|feed|details?)\b", re.IGNORECASE)
 # --------------------------------------------------------------------------
 
 _FIELDS = re.compile("|".join(GRAMMARS.values()))
 _GRAMMAR_OF = dict(enumerate(GRAMMARS, 1))
+#: Every field begins with one of these.
+_FIELD_BEGIN = re.compile(r"[{$#<\[@_%X*|]")
 #: What every field contains: texts without are done.
-_FIELD_MARK = re.compile(r"[{<%@$]|\[\[|\[\s*[A-Z]|__[A-Z]|XXX")
+_FIELD_MARK = re.compile(r"[{<%@$\[]|__[A-Z]|XXX|\*\||\|\*|##")
 _FENCE = re.compile(r"^(?:```|~~~).*?^(?:```|~~~)[^\n]*$", re.DOTALL | re.MULTILINE)
 #: Marks that open what is shown, and what closes each or, as all but tags close in their line, ends the search.
 _SPAN = re.compile(r"`|<code>|<pre>", re.IGNORECASE), {tag: re.compile(tag.replace("<", "</"), re.IGNORECASE) for tag in ("<code>", "<pre>")} | {"`": re.compile(r"[`\r\n\v\f\x85\u2028\u2029]")}
 _QUOTED = re.compile("[\"“„«「]"), {a: re.compile(rf"[{b}\r\n\v\f\x85\u2028\u2029]") for a, b in ('""', "“”", "„“", "«»", "「」")}
-_TAGS = re.compile(r"</?(?:html|body|head|title|h[1-6]|p|div|span|center|hr|br|b|i|em|strong|pre|noscript|main|section|article|ul|ol|li|a|meta|link|!doctype)\b[^<>\n]*>", re.IGNORECASE)
+_TAGS = re.compile(r"</?(?:html|body|head|title|h[1-6]|p|div|center|hr|br|pre|noscript|main|section|article|ul|ol|li|table|tr|td|meta|link|!doctype)\b[^<>\n]*>", re.IGNORECASE)
+_INLINE = re.compile(r"</?(?:span|b|i|u|em|strong|a|font|small)\b[^<>\n]*>", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _LEAD = re.compile(r"^[\s>*#\-–—•|=]+(?:\d{1,2}:\d{2}\s+)?|^(?:[QA]|Re|Note|Hinweis)\s*:\s*")
 _BREAK = re.compile(r"[\r\n\v\f\x85  ]+")
@@ -189,7 +234,7 @@ def _unshown(text: str, opening: re.Pattern, closing: dict[str, re.Pattern]) ->
 
 def placeholders(text: str) -> list[str]:
     """Unfilled template fields, discounting code, quotes and talk about syntax."""
-    if not _FIELD_MARK.search(text) or not _FIELDS.search(text):
+    if not _FIELD_MARK.search(text) or not any(_FIELDS.match(text, mark.start()) for mark in _FIELD_BEGIN.finditer(text)):
         return []
     bare = _unshown(_masked(text, _FENCE), *_SPAN)
     everywhere = len(_FIELDS.findall(text))
@@ -214,31 +259,45 @@ def placeholders(text: str) -> list[str]:
 
 
 def _is_field(grammar: str, name: str) -> bool:
+    if grammar == "position":
+        return True
+    if grammar.startswith("label"):
+        return _is_label(name)
     plain = re.sub(r"[_\-\s]+", "_", name).strip("_").lower()
     return len(plain) > 1 and plain not in NOT_FIELDS.get(grammar, ())
 
 
-def has_filler(text: str) -> bool:
-    """Dummy text: running Latin, a few words repeated over a line, stock sentences."""
-    for line in _BREAK.split(_masked(text, _FENCE)):
-        words = [w for w in (p.strip(".,;:!?()[]\"'*#>|-") for p in line.lower().split()) if w]
-        if len(words) >= 3 and all(w in DUMMY or len(set(w)) == 1 and len(w) > 1 for w in words):
+def _is_label(name: str) -> bool:
+    """Whether words in brackets name a field of a letter or form."""
+    words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).replace("_", " ").replace("-", " ").lower().split()
+    return words[-1] in LABELS and (len(words) > 1 or name[:1].isupper()) or (len(words) > 1 and words[0] in OWNERS)
+
+
+_MARKS = {ord(mark): None for mark in ".,;:!?()[]\"'*#>|-"}
+
+
+def _is_dummy(line: str) -> bool:
+    """Running Latin, or a few words repeated over a line."""
+    words = line.lower().translate(_MARKS).split()
+    if len(words) < 3:
+        return False
+    distinct = len(set(words))
+    if all(w in DUMMY or (len(w) > 1 and len(set(w)) == 1) for w in words):
+        return True
+    if len(words) < 6:
+        return False
+    if distinct <= 3 or (len(words) >= 7 and distinct <= 4) or (len(words) >= 10 and distinct <= 0.4 * len(words) and distinct <= 8):
+        alphabetic = sum(map(str.isalpha, words))
+        if (alphabetic == len(words) or (len(words) >= 7 and alphabetic * 3 >= len(words))) and not ANSWERS.issuperset(words):
             return True
-        if len(words) >= 7:
-            distinct = len(set(words))
-            if (distinct <= 4 or (len(words) >= 10 and distinct <= 0.4 * len(words) and distinct <= 8)) and sum(1 for w in words if w.isalpha()) * 3 >= len(words):
-                return True
-            if not LATIN.isdisjoint(words[6::7]):  # where any run of 7 has a word
-                run = best = 0
-                for word in words:
-                    run = run + 1 if word in LATIN else 0
-                    best = max(best, run)
-                if best >= 7:
-                    return True
-        for sentence in _SENTENCE.split(_unshown(line, *_QUOTED)):
-            sentence = _LEAD.sub("", _TAGS.sub(" ", sentence)).strip()
-            if sentence and _FILLER.match(sentence) and not _PROSE.search(sentence):
-                return True
+    if len(words) < 7:
+        return False
+    if not LATIN.isdisjoint(words[6::7]):  # where any run of 7 has a word
+        run = best = 0
+        for word in words:
+            run = run + 1 if word in LATIN else 0
+            best = max(best, run)
+        return best >= 7
     return False
 
 
@@ -248,20 +307,38 @@ def _is_error_object(line: str) -> bool:
     return bool(begin and _ERROR_VALUE.search(line, begin.end()))
 
 
-def has_notice_or_error(text: str) -> bool:
-    """An error page, or a notice about scripts, where content belongs."""
-    bare = _unshown(_masked(text, _FENCE), *_SPAN)
-    for line in _BREAK.split(bare):
+def _speaks_of(piece: str) -> bool:
+    return bool(_PROSE.search(_PAGE_NAMES.sub(" ", piece)))
+
+
+def has_dead_text(text: str) -> bool:
+    """Filler, an error page, or a notice about scripts, where content belongs.
+
+    One pass over the lines: dummy words in the line as it is, error objects, then
+    what begins a sentence outside code and quotes.
+    """
+    plain = _masked(text, _FENCE) if "```" in text or "~~~" in text else text
+    bare = _unshown(plain, *_SPAN)
+    lines = _BREAK.split(bare)
+    folded = bare.lower()
+    scripts = any(word in folded for word in SCRIPTS)
+    for line, whole in zip(lines, lines if bare is plain else _BREAK.split(plain)):
+        if _is_dummy(whole):
+            return True
         if ("{" in line or "[" in line) and _is_error_object(line):
             return True
-        plain = _TAGS.sub("\n", _unshown(line, *_QUOTED))
-        for piece in plain.split("\n"):
+        line = _unshown(line, *_QUOTED)
+        if "<" in line:
+            line = _TAGS.sub("\n", _INLINE.sub(" ", line))
+        for piece in line.split("\n"):
             piece = _LEAD.sub("", piece).strip()
-            if piece and _ERROR_LINE.match(piece) and not _PROSE.search(piece):
-                return True
-            for sentence in _SENTENCE.split(piece):
-                sentence = sentence.strip()
-                if sentence and (_NOTICE.match(sentence) or _ERROR_LINE.match(sentence)) and not _PROSE.search(sentence):
+            sentences = _SENTENCE.split(piece)
+            for n, part in enumerate([piece, *sentences] if len(sentences) > 1 else sentences):
+                part = part.strip()
+                if not part:
+                    continue
+                hit = _ERROR_LINE.match(part) or (scripts and _NOTICE.match(part)) or _FILLER.match(_LEAD.sub("", part))
+                if hit and not _speaks_of(part):
                     return True
     return False
 
@@ -273,7 +350,7 @@ def is_residue(text: str | None) -> bool:
     """
     if not text:
         return False
-    return bool(has_notice_or_error(text) or has_filler(text) or placeholders(text))
+    return bool(has_dead_text(text) or placeholders(text))
 
 
 @F.pandas_udf(T.BooleanType())
