@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from vulnlake.llm.leakage import by_join, item_report, leaked_pairs, leaks, tiles, words_of
+from vulnlake.llm.leakage import by_join, item_report, leaked_pairs, leaks, seed_filter, tiles, words_of, _places
 from vulnlake.session import table
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, suite string, item_text string, text string"
@@ -95,3 +95,66 @@ def test_whole_table_against_brute_force(spark, sf):
 def test_very_long_text(spark):
     text = "filler " * 300_000 + PASSAGE + " filler" * 300_000
     assert [tuple(r) for r in leaked_pairs(docs(spark, [(1, text)]), items(spark, [(10, PASSAGE)])).collect()] == [(1, 10)]
+
+
+def test_the_filter_holds_every_seed(spark, monkeypatch):
+    from vulnlake.llm import leakage
+
+    seeds = [random.Random(n).getrandbits(63) - (n % 2) * (1 << 62) for n in range(3000)]
+    df = spark.createDataFrame([(n,) for n in seeds], "seed long")
+    for most in (leakage.FILTER_BITS, 1 << 12):  # also far too small
+        monkeypatch.setattr(leakage, "FILTER_BITS", most)
+        words = seed_filter(df)
+        holds = lambda values: np.all([(words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) for at in _places(np.array(values, dtype=np.int64).view(np.uint64), len(words) << 6)], axis=0)
+        assert holds(seeds).all()
+        others = [random.Random(n).getrandbits(62) for n in range(10_000, 12_000)]
+        assert most == 1 << 12 or holds(others).mean() < 0.02
+
+
+def plain_tiling(a, b, least):
+    """Greedy string tiling by its definition: mark the longest free common runs until none reaches the least."""
+    used_a, used_b, covered, longest, n_tiles = [False] * len(a), [False] * len(b), 0, 0, 0
+    while True:
+        best, runs = least, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
+                    n += 1
+                if n > best:
+                    best, runs = n, []
+                if n == best and n:
+                    runs.append((i, j))
+        if not runs:
+            return n_tiles, longest, covered
+        for i, j in runs:
+            if not any(used_a[i : i + best]) and not any(used_b[j : j + best]):
+                used_a[i : i + best] = [True] * best
+                used_b[j : j + best] = [True] * best
+                covered, longest, n_tiles = covered + best, max(longest, best), n_tiles + 1
+
+
+def test_report_equals_plain_tiling(spark):
+    """Coverage by tiles in any order, against the definition, on passages cut, moved and repeated."""
+    rng = random.Random(11)
+    vocabulary = [f"w{n}" for n in range(60)]
+    texts = {n: [rng.choice(vocabulary) for _ in range(rng.randrange(4, 40))] for n in range(12)}
+    documents = []
+    for n in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            source = texts[rng.randrange(12)]
+            start = rng.randrange(len(source))
+            parts += source[start : start + rng.randrange(3, 30)] + [rng.choice(["other", "more"])]
+        documents.append((n, " ".join(parts)))
+    rows = [(n, " ".join(t)) for n, t in texts.items()]
+    want = {n: {} for n in texts}
+    for item, words in texts.items():
+        for doc, text in documents:
+            _, longest, covered = plain_tiling(words, text.split(), min(5, len(words)))
+            if covered and covered / len(words) >= 0.5:
+                want[item][doc] = covered / len(words)
+    for d, i in ((docs(spark, documents), items(spark, rows)),):
+        got = {r["item_id"]: (r["n_documents"], r["best_coverage"]) for r in item_report(d, i).collect()}
+    assert got == {n: (len(hits), round(max(hits.values(), default=0.0), 6)) for n, hits in want.items()}
+    assert any(hits for hits in want.values())

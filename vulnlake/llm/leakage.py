@@ -11,8 +11,10 @@
    count in the coverage.
 
 Items up to ``MAX_ITEM_CHARS`` characters in all travel to every task, after
-their size has been measured; beyond that the seeds of both sides are joined by
-a shuffle (see ``by_join``). Both give the same rows.
+their size has been measured; beyond that only a Bloom filter of their seeds does,
+of at most ``FILTER_BITS`` bits. A document's windows that pass it, few besides
+those really shared, are joined with the items' seeds by a shuffle (see
+``by_join``). Both give the same rows.
 """
 
 from __future__ import annotations
@@ -27,10 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vulnlake.session import reliable_checkpoint
+
 #: Consecutive words that make a leaked passage.
 MIN_WORDS = 13
 #: Characters of all items together up to which they are sent to every task.
 MAX_ITEM_CHARS = 8_000_000
+#: Most bits of the Bloom filter of the items' seeds, bits a seed, and places a seed sets.
+FILTER_BITS, SEED_BITS, PLACES = 1 << 29, 16, 4
+#: Parts over which the rows of one seed, and of one item, are spread in joins.
+SALTS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -240,9 +248,37 @@ def _stable_numbers(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
 
+def _places(seeds: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of a filter of ``bits`` (a power of 2) that seeds set, one row per place."""
+    factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)[:PLACES, None]
+    with np.errstate(over="ignore"):
+        return ((seeds.astype(np.uint64)[None, :] ^ (seeds.astype(np.uint64)[None, :] >> np.uint64(31))) * factors) >> np.uint64(65 - bits.bit_length())
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A Bloom filter of the seeds, as 64-bit words; at most ``FILTER_BITS`` bits reach
+    the driver. A fuller filter lets more windows through and loses none."""
+    wanted = max(1 << 10, SEED_BITS * seeds.count())
+    bits = min(FILTER_BITS, 1 << (wanted - 1).bit_length())
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.unique(_places(batch["seed"].to_numpy().view(np.uint64), bits))
+            first, start = np.unique(at >> np.uint64(6), return_index=True)
+            mask = np.left_shift(np.uint64(1), at & np.uint64(63))
+            yield pd.DataFrame({"word": first.astype(np.int64), "mask": (np.bitwise_or.reduceat(mask, start) if len(at) else mask).view(np.int64)})
+
+    found = seeds.select("seed").mapInPandas(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(bits >> 6, dtype=np.uint64)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
 def by_join(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``leaks`` for items of any number: a shuffle join on seed hashes finds the
-    pairs, then the texts of each pair meet and are tiled."""
+    """``leaks`` for items of any number: windows of documents that pass the filter meet
+    the items' seeds in a shuffle join, then the texts of each pair meet and are
+    tiled. A seed of many documents, and an item of many, are spread over ``SALTS``
+    parts each, besides what adaptive execution splits."""
     short = items.where("item_id is not null and item_text is not null").select("item_id", "item_text")
 
     def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,20 +291,36 @@ def by_join(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS)
                     out.extend((int(item), size, int(h)) for h in np.unique(window_hashes(numbers, size)).view(np.int64))
             yield pd.DataFrame(out, columns=["item_id", "size", "seed"]).astype({"item_id": "int64", "size": "int32", "seed": "int64"})
 
+    seeds = reliable_checkpoint(short.mapInPandas(item_seeds, "item_id long, size int, seed long").distinct())
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().toLocalIterator())  # at most min_words
+    shared = documents.sparkSession.sparkContext.broadcast(seed_filter(seeds))
+
     def document_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        bits = len(words) << 6
         for batch in batches:
+            docs, widths, found = [], [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 numbers = _stable_numbers(words_of(text))
                 for size in sizes:
-                    found = np.unique(window_hashes(numbers, size)).view(np.int64)
-                    yield pd.DataFrame({"doc_id": int(doc), "size": np.int32(size), "seed": found})
-
-    seeds = short.mapInPandas(item_seeds, "item_id long, size int, seed long").distinct()
-    sizes = sorted(r["size"] for r in seeds.select("size").distinct().toLocalIterator())  # at most min_words
+                    mine = np.unique(window_hashes(numbers, size))
+                    for place in range(PLACES):
+                        if not len(mine):
+                            break
+                        at = _places(mine, bits)[place]
+                        mine = mine[((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)]
+                    docs.append(np.full(len(mine), doc, dtype=np.int64))
+                    widths.append(np.full(len(mine), size, dtype=np.int32))
+                    found.append(mine.view(np.int64))
+            if docs:
+                yield pd.DataFrame({"doc_id": np.concatenate(docs), "size": np.concatenate(widths), "seed": np.concatenate(found)})
+
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    mine = texts.mapInPandas(document_seeds, "doc_id long, size int, seed long")
-    pairs = mine.join(seeds, ["size", "seed"]).select("doc_id", "item_id").distinct()
-    both = pairs.join(texts, "doc_id").join(short, "item_id")
+    mine = texts.mapInPandas(document_seeds, "doc_id long, size int, seed long").select("*", salt)
+    pairs = mine.join(seeds.select("*", salts), ["size", "seed", "salt"]).select("doc_id", "item_id").distinct()
+    both = pairs.join(texts, "doc_id").select("*", salt).join(short.select("*", salts), ["item_id", "salt"])
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -279,7 +331,7 @@ def by_join(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS)
                     out.append(row)
             yield _frame(out)
 
-    return both.mapInPandas(tile, _LEAK)
+    return both.select("doc_id", "item_id", "text", "item_text").mapInPandas(tile, _LEAK)
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
