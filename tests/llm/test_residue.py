@@ -119,6 +119,11 @@ def test_marks_without_end_take_linear_time(mark):
     assert time.process_time() - began < 10
 
 
+def test_lines_of_marks_keep_their_place():
+    assert is_residue("Text.\r\n\r\n#\r\n---\nThis bulletin only works with JavaScript. Loading...")
+    assert is_residue("Text.\n<pre>a\r\nb\rc</pre>\n#\nfoo bar baz foo") and not is_residue("<pre>404\rx</pre>\n#\nText.")
+
+
 def test_tutorial_density():
     tutorial = "Fields look like `{{ a_name }}`, `{{ b_name }}`, `{{ c_name }}` or `{{ d_name }}`; {{ e_name }} works too."
     assert placeholders(tutorial) == []

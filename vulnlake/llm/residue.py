@@ -199,13 +199,31 @@ _SPAN = re.compile(r"`|<code>|<pre>", re.IGNORECASE), {tag: re.compile(tag.repla
 _QUOTED = re.compile("[\"“„«「]"), {a: re.compile(rf"[{b}\r\n\v\f\x85\u2028\u2029]") for a, b in ('""', "“”", "„“", "«»", "「」")}
 _TAGS = re.compile(r"</?(?:html|body|head|title|h[1-6]|p|div|center|hr|br|pre|noscript|main|section|article|ul|ol|li|table|tr|td|meta|link|!doctype)\b[^<>\n]*>", re.IGNORECASE)
 _INLINE = re.compile(r"</?(?:span|b|i|u|em|strong|a|font|small)\b[^<>\n]*>", re.IGNORECASE)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_STOP = re.compile(r"[.!?]\s+|[。！？]")
 _LEAD = re.compile(r"^[\s>*#\-–—•|=]+(?:\d{1,2}:\d{2}\s+)?|^(?:[QA]|Re|Note|Hinweis)\s*:\s*")
-_BREAK = re.compile(r"[\r\n\v\f\x85  ]+")
+_BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]")  # one by one, so that lines of marks keep their place
 
 
 def _blank(text: str) -> str:
-    return re.sub(r"[^\n]", " ", text)
+    return re.sub("[^\r\n\v\f\x85\u2028\u2029]", " ", text)
+
+
+def _sentences(text: str) -> list[str]:
+    found, at = [], 0
+    for stop in _STOP.finditer(text):
+        found.append(text[at : stop.end()])
+        at = stop.end()
+    found.append(text[at:])
+    return found
+
+
+def _fields(text: str) -> Iterator[re.Match]:
+    """What ``_FIELDS.finditer`` gives, tried only where a field can begin."""
+    at = 0
+    for mark in _FIELD_BEGIN.finditer(text):
+        if mark.start() >= at and (match := _FIELDS.match(text, mark.start())):
+            at = match.end()
+            yield match
 
 
 def _masked(text: str, pattern: re.Pattern) -> str:
@@ -234,21 +252,24 @@ def _unshown(text: str, opening: re.Pattern, closing: dict[str, re.Pattern]) ->
 
 def placeholders(text: str) -> list[str]:
     """Unfilled template fields, discounting code, quotes and talk about syntax."""
-    if not _FIELD_MARK.search(text) or not any(_FIELDS.match(text, mark.start()) for mark in _FIELD_BEGIN.finditer(text)):
+    if not _FIELD_MARK.search(text):
+        return []
+    everywhere = sum(1 for _ in _fields(text))
+    if not everywhere:
         return []
     bare = _unshown(_masked(text, _FENCE), *_SPAN)
-    everywhere = len(_FIELDS.findall(text))
     found: list[str] = []
     frames = 0
     for line in _BREAK.split(bare):
-        if not _FIELDS.search(line):
+        if next(_fields(line), None) is None:
             continue
         unquoted = _unshown(line, *_QUOTED)
         here = []
-        for sentence in _SENTENCE.split(unquoted):
-            if _SPEAKS.search(_FIELDS.sub(" ", sentence)):
+        for sentence in _sentences(unquoted):
+            fields = list(_fields(sentence))
+            if not fields or _SPEAKS.search(_FIELDS.sub(" ", sentence)):
                 continue
-            for match in _FIELDS.finditer(sentence):
+            for match in fields:
                 if _is_field(_GRAMMAR_OF[match.lastindex], match.group(match.lastindex)):
                     here.append(match.group(0))
         found.extend(here)
@@ -276,9 +297,8 @@ def _is_label(name: str) -> bool:
 _MARKS = {ord(mark): None for mark in ".,;:!?()[]\"'*#>|-"}
 
 
-def _is_dummy(line: str) -> bool:
+def _is_dummy(words: list[str]) -> bool:
     """Running Latin, or a few words repeated over a line."""
-    words = line.lower().translate(_MARKS).split()
     if len(words) < 3:
         return False
     distinct = len(set(words))
@@ -322,8 +342,8 @@ def has_dead_text(text: str) -> bool:
     lines = _BREAK.split(bare)
     folded = bare.lower()
     scripts = any(word in folded for word in SCRIPTS)
-    for line, whole in zip(lines, lines if bare is plain else _BREAK.split(plain)):
-        if _is_dummy(whole):
+    for line, words in zip(lines, _BREAK.split(plain.lower().translate(_MARKS))):
+        if _is_dummy(words.split()):
             return True
         if ("{" in line or "[" in line) and _is_error_object(line):
             return True
@@ -332,8 +352,8 @@ def has_dead_text(text: str) -> bool:
             line = _TAGS.sub("\n", _INLINE.sub(" ", line))
         for piece in line.split("\n"):
             piece = _LEAD.sub("", piece).strip()
-            sentences = _SENTENCE.split(piece)
-            for n, part in enumerate([piece, *sentences] if len(sentences) > 1 else sentences):
+            sentences = _sentences(piece)
+            for part in [piece, *sentences] if len(sentences) > 1 else sentences:
                 part = part.strip()
                 if not part:
                     continue
