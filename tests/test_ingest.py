@@ -13,9 +13,9 @@ from vulnlake.operators import delta as D
 from vulnlake.operators import normalize as N
 from vulnlake.operators.evidence import keep_last
 from vulnlake.plans.search import like_pattern, page_bounds, plan_search
-from vulnlake.plans.store import Store
+from vulnlake.plans.store import Conflict, Store
 from vulnlake.sources import feeds, registry
-from vulnlake.sources.spool import FAILED, PROCESSING, SpoolFiles, judge_files, scan_spool, write_spool
+from vulnlake.sources.spool import FAILED, PROCESSING, STAGED, SpoolFiles, judge_files, scan_spool, write_spool
 from vulnlake.streaming import drain as S
 
 
@@ -91,11 +91,14 @@ def test_spool_files(spark, tmp_path):
     scanned = scan_spool(spark, folder)
     assert scanned.where("run = 'run'").select("sequence").distinct().count() == 3
     files = SpoolFiles(spark, folder)
-    accepted, refused = files.settle(judge_files(scanned))
+    judged = judge_files(scanned)
+    judged = spark.createDataFrame(judged.collect(), judged.schema)
+    accepted, refused = files.finish(judged)
     assert sorted(refused) == ["bad.ndjson.ready", "mixed.ndjson.ready"] and sorted(accepted) == names
     assert sorted(files.names(FAILED)) == ["bad.ndjson.failed", "mixed.ndjson.failed"]
-    files.move(names[0], ".ndjson.ready", PROCESSING)
-    assert files.recover() == [names[0]]
+    assert len(files.names(STAGED)) == 3 and files.finish(judged)[0] == accepted and files.clear_staged() == 3
+    (tmp_path / f"again{PROCESSING}").write_text(osv("OSV-1-1"))
+    assert files.recover() == ["again.ndjson.ready"]
 
 
 def test_drain_twice_gives_the_same_state(spark, tmp_path):
@@ -106,17 +109,115 @@ def test_drain_twice_gives_the_same_state(spark, tmp_path):
     os.utime(folder / "a-s0001.ndjson.ready", (1_700_000_000, 1_700_000_000))  # a stream takes files by time
     keys = []
     take = lambda checkpoint: S.drain_spool(spark, str(folder), store, str(tmp_path / checkpoint), lambda k, n: keys.append({r[0] for r in k.collect()}), 1)
-    assert take("c1") == 2
+    assert take("c1").batches == 2
     state = lambda: sorted((r["source_record_id"], r["title"], r["vulnerability_key"]) for r in store.read("source_records").collect())
     assert state() == [("OSV-2026-1", "new", "OSV-2026-1"), ("OSV-2026-2", "two", "CVE-2026-1001")]
     assert store.read("affected_facts").count() == 1
     before = state()
-    take("c1")
+    assert take("c1").batches == 0
     assert state() == before and keys[0] == {"OSV-2026-1", "CVE-2026-1001"}
-    take("c2")
+    for staged in folder.glob("*.staged"):
+        staged.rename(folder / f"{staged.name.removesuffix('.staged')}.ready")
+    assert sorted(take("c2").accepted) == ["a-s0001.ndjson.ready", "a-s0002.ndjson.ready"]
     assert state() == before and store.read("source_record_identifiers").count() == 3
 
 
+EXPLOIT_PAYLOAD = {"sourceKey": "EDB-7", "artifactType": "poc_code", "title": "poc"}
+
+
+def write(folder, name, *lines):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{name}.ndjson.ready").write_text("\n".join(lines))
+
+
+def test_refused_files_are_set_aside_and_reported(spark, tmp_path):
+    folder, store = tmp_path / "spool", Store(spark, str(tmp_path / "store"))
+    write(folder, "good", osv("OSV-2026-1", summary="one"))
+    write(folder, "broken", osv("OSV-2026-2", summary="two"), "{")
+    write(folder, "revision", line("nuclei-templates", "t1", {"sourceKey": "t1"}, snapshotId="r1"))
+    done = S.drain_spool(spark, str(folder), store, str(tmp_path / "c"))
+    assert done.accepted == ["good.ndjson.ready"] and sorted(done.refused) == ["broken.ndjson.ready", "revision.ndjson.ready"]
+    assert sorted(p.name for p in folder.glob("*.ndjson.*")) == ["broken.ndjson.failed", "good.ndjson.staged", "revision.ndjson.failed"]
+    assert [r["source_record_id"] for r in store.read("source_records").collect()] == ["OSV-2026-1"]
+
+
+def test_exploits_and_snapshots_reach_the_store(spark, tmp_path):
+    folder, store = tmp_path / "spool", Store(spark, str(tmp_path / "store"), buckets=4)
+    entry = lambda key, revision, **more: line("nuclei-templates", key, {"sourceKey": key, "title": f"{key} {revision}"}, identifiers=["CVE-2026-5001"], snapshotId=revision, snapshotComplete=True, **more)
+    state = lambda: {r["source_key"]: (r["title"], r["is_active"], r["snapshot_id"]) for r in store.read("exploits").collect()}
+    write(folder, "n1", entry("t1", "r1"), entry("t2", "r1"), entry("t3", "r1"))
+    write(folder, "e1", line("exploitdb", "7", EXPLOIT_PAYLOAD, identifiers=["CVE-2026-5002"]))
+    S.drain_spool(spark, str(folder), store, str(tmp_path / "c"))
+    assert state() == {"EDB-7": ("poc", True, None), **{f"t{n}": (f"t{n} r1", True, "r1") for n in (1, 2, 3)}}
+    write(folder, "n2", entry("t1", "r2"), entry("t4", "r2"))
+    write(folder, "n3", entry("t9", "r3"))  # far smaller than the active set
+    write(folder, "n4", entry("t1", "r4", sourceMode="append"))
+    os.utime(folder / "n2.ndjson.ready", (1_700_000_000, 1_700_000_000))
+    done = S.drain_spool(spark, str(folder), store, str(tmp_path / "c"))
+    assert sorted(done.refused) == ["n3.ndjson.ready", "n4.ndjson.ready"] and done.accepted == ["n2.ndjson.ready"]
+    got = state()
+    assert got["t1"] == ("t1 r2", True, "r2") and got["t4"] == ("t4 r2", True, "r2") and "t9" not in got
+    assert got["EDB-7"] == ("poc", True, None) and got["t2"][1] is False and got["t3"][1] is False
+    assert store.read("source_records").where("source_code = 'nuclei-templates'").count() == 0
+
+
+def test_initial_loads_replace_their_source(spark, tmp_path):
+    folder, store = tmp_path / "spool", Store(spark, str(tmp_path / "store"), buckets=4)
+    ids = lambda: sorted(r["source_record_id"] for r in store.read("source_records").collect())
+    write(folder, "a", osv("OSV-2026-1", summary="one"), osv("OSV-2026-2", summary="two"))
+    write(folder, "k", line("cisa-kev", "CVE-2026-1", {"cveID": "CVE-2026-1", "vulnerabilityName": "x", "dateAdded": "2026-01-01"}))
+    S.drain_spool(spark, str(folder), store, str(tmp_path / "c"))
+    assert ids() == ["CVE-2026-1", "OSV-2026-1", "OSV-2026-2"]
+    write(folder, "b-s0001", line("osv-init", "OSV-2026-3", {"id": "OSV-2026-3", "summary": "three"}))
+    write(folder, "b-s0002", line("osv-init", "OSV-2026-4", {"id": "OSV-2026-4", "summary": "four"}, sourceMode="append"))
+    keys = []
+    S.drain_spool(spark, str(folder), store, str(tmp_path / "c"), lambda k, n: keys.extend(r[0] for r in k.collect()))
+    assert ids() == ["CVE-2026-1", "OSV-2026-3", "OSV-2026-4"] and sorted(keys) == ["OSV-2026-1", "OSV-2026-2", "OSV-2026-3", "OSV-2026-4"]
+
+
+def test_projections_follow_the_drain(spark, tmp_path):
+    """After keyed rebuilds the projections are those of a full one."""
+    folder, store = tmp_path / "spool", Store(spark, str(tmp_path / "store"), buckets=4)
+    write(folder, "a", *(osv(f"OSV-2026-{n}", summary=f"s{n}", aliases=[f"CVE-2026-{5000 + n % 3}"], affected=AFFECTED) for n in range(6)))
+    assert S.drain_spool(spark, str(folder), store, str(tmp_path / "c"), rebuild=True).rebuild == "full"
+    assert store.read("pending_keys").count() == 0 and store.read("vulnerabilities").count() == 3
+    write(folder, "b", line("osv", "OSV-2026-1", {"id": "OSV-2026-1", "summary": "moved", "aliases": ["CVE-2026-7777"]}, recordHash="h2"), osv("OSV-2026-9", summary="new", affected=AFFECTED))
+    assert S.drain_spool(spark, str(folder), store, str(tmp_path / "c"), rebuild=True).rebuild == "keyed"
+    shown = lambda name: sorted(map(str, (r.asDict() for r in store.read(name).collect())))
+    keyed = {n: shown(n) for n in ("vulnerabilities", "affected_components", "alias_owners")}
+    assert any("CVE-2026-7777" in r for r in keyed["vulnerabilities"]) and len(keyed["vulnerabilities"]) == 5
+    store.drop("vulnerabilities")
+    store.publish({"pending_keys": store.read("source_records").select("vulnerability_key").distinct()})
+    assert S.rebuild_projections(store) == "full"
+    assert {n: shown(n) for n in keyed} == keyed
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=8)
+    rows = spark.range(200).selectExpr("cast(id as string) AS k", "0 AS v")
+    store.publish({"t": rows}, buckets={"t": (["k"], None)})
+    before = store.manifest()["t"]["folders"]
+    one = rows.where(store.bucket_of("k") == 3).withColumn("v", F.lit(1))
+    store.publish({"t": one}, store.number(), {"t": (["k"], [3])})
+    after = store.manifest()["t"]["folders"]
+    assert {b for b in after if after[b] != before.get(b)} == {"3"} and store.read("t").count() == 200
+    assert store.read("t").where("v = 1").count() == one.count() == store.read("t", buckets=[3]).count()
+    store.publish({"t": one.limit(0)}, store.number(), {"t": (["k"], [3])})
+    assert store.read("t").count() == 200 - one.count() and "3" not in store.manifest()["t"]["folders"]
+
+
+def test_two_publishers_lose_nothing(spark, tmp_path):
+    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    store.publish({"t": spark.range(1), "u": spark.range(1)})
+    base = store.number()
+    other.publish({"u": spark.range(5)})
+    store.publish({"t": spark.range(2)}, base)  # another table: both stay
+    assert store.read("t").count() == 2 and store.read("u").count() == 5
+    with pytest.raises(Conflict):
+        store.publish({"u": spark.range(9)}, base)
+    assert store.read("u").count() == 5 and len(list((tmp_path / "u").glob("v=*"))) == 1
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.manifest() == {} and not store.ready("t") and store.read("t", "a int").count() == 0

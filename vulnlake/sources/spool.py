@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from vulnlake.operators.normalize import parse_envelopes, text
 
 # --- fixed values ---------------------------------------------------------
-READY, PROCESSING, FAILED, PARTIAL = ".ndjson.ready", ".ndjson.processing", ".ndjson.failed", ".ndjson.partial"
+READY, PROCESSING, STAGED, FAILED, PARTIAL = ".ndjson.ready", ".ndjson.processing", ".ndjson.staged", ".ndjson.failed", ".ndjson.partial"
 NOT_SPOOL = "first-epss-"
+#: The exploit list that is delivered as one full snapshot per file.
+SNAPSHOT_SOURCE = "nuclei-templates"
 # --------------------------------------------------------------------------
 
 
@@ -34,13 +36,18 @@ def scan_spool(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def judge_files(lines: DataFrame) -> DataFrame:
-    """``file, good, bad, sources, accepted``: a file with any bad line or
-    with several sources is refused whole."""
+    """``file, good, bad, source, sources, accepted``: a file with any bad
+    line or with several sources is refused whole, and so is a file of the snapshot
+    source that is not one complete snapshot of one revision."""
     parsed = parse_envelopes(lines)
-    source = F.lower(text(F.col("envelope"), "$.sourceCode"))
+    v = F.col("envelope")
+    source, revision = F.lower(text(v, "$.sourceCode")), text(v, "$.snapshotId")
+    whole = revision.isNotNull() & F.coalesce(F.try_variant_get(v, "$.snapshotComplete", "boolean"), F.lit(False)) & text(v, "$.sourceMode").isNull()
+    broken = (source == SNAPSHOT_SOURCE) & ~whole
     return parsed.groupBy("file").agg(
-        F.count_if("is_valid").alias("good"), F.count_if(~F.col("is_valid")).alias("bad"), F.count_distinct(source).alias("sources")
-    ).withColumn("accepted", (F.col("bad") == 0) & (F.col("sources") == 1))
+        F.count_if("is_valid").alias("good"), F.count_if(~F.col("is_valid") | F.coalesce(broken, F.lit(False))).alias("bad"), F.max(source).alias("source"),
+        F.count_distinct(source).alias("sources"), F.count_distinct(F.when(source == SNAPSHOT_SOURCE, revision)).alias("revisions"),
+    ).withColumn("accepted", (F.col("bad") == 0) & (F.col("sources") == 1) & (F.col("revisions") <= 1)).drop("revisions")
 
 
 def accepted_envelopes(lines: DataFrame) -> DataFrame:
@@ -83,16 +90,27 @@ class SpoolFiles:
         """Files left in processing by a run that died are ready again."""
         return [self.move(n, PROCESSING, READY) for n in self.names(PROCESSING)]
 
-    def settle(self, judged: DataFrame) -> tuple[list[str], list[str]]:
-        """Refused files are set aside; gives the names of accepted and refused files."""
+    def finish(self, judged: DataFrame, also_refused: list[str] = ()) -> tuple[list[str], list[str]]:
+        """Accepted files are staged and refused ones set aside; gives the names of both.
+        A file that is gone already (a batch that ran again) is passed over."""
         accepted, refused = [], []
         for row in judged.select("file", "accepted").toLocalIterator():  # one row per file
             name = row["file"].rsplit("/", 1)[1]
-            (accepted if row["accepted"] else refused).append(name)
-        for name in refused:
+            (accepted if row["accepted"] and name not in also_refused else refused).append(name)
+        ready = set(self.names(READY))
+        for name in ready.intersection(refused):
             self.move(name, READY, FAILED)
+        for name in ready.intersection(accepted):
+            self.move(name, READY, STAGED)
         return accepted, refused
 
+    def clear_staged(self) -> int:
+        """S3: deletes staged files, once what was made of them is safe."""
+        names = self.names(STAGED)
+        for name in names:
+            self._fs.delete(self._path(f"{self.folder}/{name}"), False)
+        return len(names)
+
 
 def write_spool(df: DataFrame, folder: str, run: str, records_per_file: int = 5000) -> list[str]:
     """Rows as spool files of at most so many lines, published by rename

@@ -1,24 +1,29 @@
-"""Incremental ingestion: X1-X3, X4, X7-X10, X13 with Structured Streaming.
+"""Incremental ingestion: X1-X10, X13 with Structured Streaming.
 
 The spool is a stream of files; every micro-batch is judged, normalised and
 merged into the store as one publish, and the stream's checkpoint remembers what
-was taken. A batch that runs again gives the same state (last record wins,
-equal records are left out), so delivery is exactly once in effect.
+was taken. Files that are refused are set aside by name, accepted ones are
+marked as staged after the publish. A batch that runs again gives the same state
+(last record wins, equal records are left out), so delivery is exactly once in
+effect. Keys that changed are published with the batch and wait in the store for
+the rebuild of the projections, so none is lost between the two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vulnlake.operators import catalog as C
 from vulnlake.operators import delta as D
 from vulnlake.operators import normalize as N
 from vulnlake.operators.evidence import keep_last
 from vulnlake.plans.store import Store
 from vulnlake.session import reliable_checkpoint
-from vulnlake.sources.spool import NOT_SPOOL, READY, accepted_envelopes, last_envelopes
+from vulnlake.sources.spool import NOT_SPOOL, READY, SNAPSHOT_SOURCE, SpoolFiles, judge_files, last_envelopes
 
 #: Evidence tables and what makes each from normalised records.
 EVIDENCE: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -30,12 +35,20 @@ EVIDENCE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "weaknesses": N.record_weaknesses,
     "threat_scores": N.threat_scores,
 }
+RECORD_KEY, RAW_KEY = ["source_code", "source_record_id"], ["source_code", "raw_index_id"]
+EXPLOITS = (
+    "source_code string, raw_index_id string, source_key string, identifiers string, title string, source_url string, artifact_type string, exploit_type string, "
+    "maturity string, verification_status string, published_at string, modified_at string, snapshot_id string, is_active boolean"
+)
+PENDING = "vulnerability_key string"
 
 
 def spool_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Ready spool files as a stream of lines with their file, oldest file first;
-    within a batch, lines go by run and sequence."""
-    stream = spark.readStream.option("pathGlobFilter", f"*{READY}").option("maxFilesPerTrigger", files_per_batch).text(folder)
+    within a batch, lines go by run and sequence. Files a batch has set aside
+    before it failed are not missed when it runs again, and files are taken
+    however old they are."""
+    stream = spark.readStream.option("pathGlobFilter", f"*{READY}").option("maxFileAge", "36500d").option("maxFilesPerTrigger", files_per_batch).option("ignoreMissingFiles", "true").text(folder)
     lines = stream.select("value", F.col("_metadata.file_path").alias("file"))
     name = F.regexp_extract("file", r"([^/]+)$", 1)
     return lines.where(~name.startswith(NOT_SPOOL) & (F.trim("value") != ""))
@@ -52,45 +65,155 @@ def _numbered(batch: DataFrame) -> DataFrame:
     )
 
 
-def merge_batch(store: Store, batch: DataFrame) -> DataFrame:
-    """One micro-batch into the store; gives the changed keys (old and
-    new), for the rebuild of projections (X2)."""
+@dataclass
+class Drained:
+    """What a drain did: batches, files by outcome, and the kind of rebuild."""
+
+    batches: int = 0
+    accepted: list[str] = field(default_factory=list)
+    refused: list[str] = field(default_factory=list)
+    rebuild: str = "none"
+
+
+def _after_resets(envelopes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """M3: lines that stand after the last reset of their source, and the sources
+    reset: initial loads that do not append, and the full list of known exploits."""
+    v = F.col("envelope")
+    source = F.lower(N.text(v, "$.sourceCode"))
+    resets = (source.endswith("-init") & (F.lower(F.coalesce(N.text(v, "$.sourceMode"), F.lit(""))) != "append")) | (source == "cisa-kev")
+    logical = envelopes.withColumn("logical", N.canonical_source(source))
+    last = logical.where(resets).groupBy("logical").agg(F.max(F.struct("run", "sequence")).alias("reset"))
+    found = sorted(r["logical"] for r in last.toLocalIterator())  # sources, of which there are few
+    kept = logical.join(F.broadcast(last) if len(found) <= 1000 else last, "logical", "left").where("reset is null or struct(run, sequence) >= reset")
+    return kept.drop("logical", "reset"), found
+
+
+def _buckets(store: Store, keys: DataFrame, columns: list[str]) -> list[int]:
+    """Buckets in which keys lie: at most as many as a table has."""
+    return sorted(r["b"] for r in keys.select(store.bucket_of(*columns).alias("b")).distinct().toLocalIterator())
+
+
+def merge_batch(store: Store, batch: DataFrame, spool: SpoolFiles | None = None, done: Drained | None = None) -> DataFrame:
+    """One micro-batch into the store, in the buckets it
+    touches; gives the changed keys (old and new), which also wait in the store's
+    ``pending_keys``. ``spool`` gets the outcome of each file."""
+    done = done if done is not None else Drained()
+    base = store.number()
     lines = reliable_checkpoint(_numbered(batch))  # line numbers must not change when a task runs again
-    normalized = N.normalize_envelopes(last_envelopes(accepted_envelopes(lines)))
+    judged = reliable_checkpoint(judge_files(lines))
+    parsed = N.parse_envelopes(lines).join(judged.where("accepted").select("file", "source"), "file", "left_semi")
+    envelopes = reliable_checkpoint(parsed)
+    snapshot = F.lower(N.text(F.col("envelope"), "$.sourceCode")) == SNAPSHOT_SOURCE
+    live, resets = _after_resets(envelopes.where(~snapshot))
+    normalized = reliable_checkpoint(N.normalize_envelopes(last_envelopes(live)).drop("envelope"))
+
     fresh = N.source_records(normalized)
-    current = store.read("source_records", fresh.drop("force_normalize").schema)
+    schema = fresh.drop("force_normalize").schema
+    reset = F.col("source_code").isin(*resets) if resets else F.lit(False)
+    everything = bool(resets)
+    by_record = None if everything else _buckets(store, normalized, RECORD_KEY)
+    by_raw = None if everything else _buckets(store, normalized, RAW_KEY)
+    before = store.read("source_records", schema, by_record)
+    current = before.where(~reset)
     changed = D.changed_records(current, fresh)
-    touched = reliable_checkpoint(changed.select("source_code", "source_record_id").distinct())
-    kept = reliable_checkpoint(normalized.drop("envelope").join(touched, ["source_code", "source_record_id"], "left_semi"))
+    touched = reliable_checkpoint(changed.select(*RECORD_KEY).distinct())
+    kept = normalized.join(touched, RECORD_KEY, "left_semi")
     rows = N.source_records(kept).drop("force_normalize")
-    before = current.join(touched, ["source_code", "source_record_id"], "left_semi").select("vulnerability_key")
-    keys = reliable_checkpoint(D.changed_keys(before, rows))
-    tables = {"source_records": D.replace_by_keys(current, rows, ["source_code", "source_record_id"])}
+    replaced = before.where(reset).select("vulnerability_key").unionByName(before.join(touched, RECORD_KEY, "left_semi").select("vulnerability_key"))
+    keys = reliable_checkpoint(D.changed_keys(replaced, rows))
+
+    tables = {"source_records": D.replace_by_keys(current, rows, RECORD_KEY)}
+    ways = {"source_records": (RECORD_KEY, by_record)}
     for name, make in EVIDENCE.items():
         part = make(kept)
-        by = ["source_code", "raw_index_id"] if "raw_index_id" in part.columns else ["source_code", "source_record_id"]
+        by = RAW_KEY if "raw_index_id" in part.columns else RECORD_KEY
+        ways[name] = (by, by_raw if by == RAW_KEY else by_record)
         gone = kept.select(*by).distinct()
-        tables[name] = store.read(name, part.schema).join(gone, by, "left_anti").unionByName(part)
-    store.publish(tables)
+        tables[name] = store.read(name, part.schema, ways[name][1]).where(~reset).join(gone, by, "left_anti").unionByName(part)
+
+    entries = keep_last(N.record_exploits(normalized), RAW_KEY, ["modified_at"])
+    snapshots, bad = _snapshots(envelopes.where(snapshot)), []
+    exploits = D.upsert_exploits(store.read("exploits", EXPLOITS, None if snapshots else by_raw).where(~reset), entries)
+    for file, found, identity in snapshots:
+        try:
+            exploits = reliable_checkpoint(D.apply_snapshot(exploits, found, SNAPSHOT_SOURCE, identity))
+        except ValueError:
+            bad.append(file)
+    tables["exploits"], ways["exploits"] = exploits, (RAW_KEY, None if snapshots else by_raw)
+    tables["pending_keys"] = D.changed_keys(store.read("pending_keys", PENDING), keys)
+    store.publish(tables, base, ways)
+
+    for row in judged.select("file", "accepted").toLocalIterator():  # one row per file of the batch
+        name = row["file"].rsplit("/", 1)[1]
+        (done.accepted if row["accepted"] and name not in bad else done.refused).append(name)
+    if spool is not None:
+        spool.finish(judged, bad)
     return keys
 
 
-def drain_spool(spark: SparkSession, folder: str, store: Store, checkpoint: str, on_keys: Callable[[DataFrame, int], None] | None = None, files_per_batch: int = 100) -> int:
-    """Takes all ready files, then ends; gives the number of batches.
-
-    ``on_keys`` gets the changed keys of each batch.
+def _snapshots(envelopes: DataFrame) -> list[tuple[str, DataFrame, str]]:
+    """Full snapshots of the exploit list in a batch, one per file, in order."""
+    v = F.col("envelope")
+    files = envelopes.groupBy("file", "run", "sequence").agg(F.max(N.text(v, "$.snapshotId")).alias("id")).orderBy("run", "sequence", "file")
+    out = []
+    for row in files.toLocalIterator():  # one row per snapshot file of the batch
+        found = N.record_exploits(N.normalize_envelopes(envelopes.where(F.col("file") == row["file"])))
+        out.append((row["file"].rsplit("/", 1)[1], found, row["id"]))
+    return out
+
+
+def rebuild_projections(store: Store, threshold: int = D.FULL_REBUILD) -> str:
+    """Owners, components and catalog after the pending keys changed:
+    all of them beyond the threshold, else those of the keys. Gives the kind."""
+    base = store.number()
+    pending = store.read("pending_keys", PENDING)
+    kind = D.rebuild_kind(pending, threshold)
+    if kind == "none":
+        return kind
+    keys = reliable_checkpoint(pending)
+    records, identifiers, severity, facts = (store.read(n) for n in ("source_records", "source_record_identifiers", "severity_scores", "affected_facts"))
+    known = store.manifest()
+    if kind == "full" or not {"alias_owners", "affected_components", "vulnerabilities"} <= set(known):
+        kind = "full"
+        rows = C.record_rollup(records).select(F.col("vulnerability_id").alias("id"), F.col("vulnerability_key").alias("primary_identifier"))
+        components = reliable_checkpoint(C.affected_components(facts, rows))
+        owners = C.alias_owners(identifiers, records)
+        catalog = C.catalog(records, identifiers, severity, components)
+    else:
+        part = lambda df: df.join(keys, "vulnerability_key", "left_semi")
+        rows = C.record_rollup(part(records)).select(F.col("vulnerability_id").alias("id"), F.col("vulnerability_key").alias("primary_identifier"))
+        old, previous = store.read("affected_components"), store.read("vulnerabilities")
+        gone = keys.select(N.vulnerability_guid(F.col("vulnerability_key")).alias("vulnerability_id"))
+        components = reliable_checkpoint(old.join(gone, "vulnerability_id", "left_anti").unionByName(C.affected_components(part(facts), rows)))
+        owners = C.rebuild_owners(store.read("alias_owners"), identifiers, records, keys)
+        catalog = C.rebuild_catalog(previous, records, identifiers, severity, components, keys)
+    tables = {"alias_owners": owners, "affected_components": components, "vulnerabilities": catalog, "pending_keys": store.spark.createDataFrame([], PENDING)}
+    store.publish(tables, base)
+    return kind
+
+
+def drain_spool(
+    spark: SparkSession, folder: str, store: Store, checkpoint: str, on_keys: Callable[[DataFrame, int], None] | None = None, files_per_batch: int = 100, rebuild: bool = False
+) -> Drained:
+    """Takes all ready files, then ends; with ``rebuild`` the projections follow.
+
+    Files left in work by a run that died are ready again. ``on_keys`` gets the
+    changed keys of each batch.
     """
-    taken = []
+    done, spool = Drained(), SpoolFiles(spark, folder)
+    spool.recover()
 
     def each(batch: DataFrame, number: int) -> None:
-        keys = merge_batch(store, batch)
-        taken.append(number)
+        keys = merge_batch(store, batch, spool, done)
+        done.batches += 1
         if on_keys:
             on_keys(keys, number)
 
     query = spool_stream(spark, folder, files_per_batch).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return len(taken)
+    if rebuild:
+        done.rebuild = rebuild_projections(store)
+    return done
 
 
 # Cursors --------------------------------------------------------------------
