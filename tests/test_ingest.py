@@ -149,7 +149,7 @@ def test_exploits_and_snapshots_reach_the_store(spark, tmp_path):
     write(folder, "e1", line("exploitdb", "7", EXPLOIT_PAYLOAD, identifiers=["CVE-2026-5002"]))
     S.drain_spool(spark, str(folder), store, str(tmp_path / "c"))
     assert state() == {"EDB-7": ("poc", True, None), **{f"t{n}": (f"t{n} r1", True, "r1") for n in (1, 2, 3)}}
-    write(folder, "n2", entry("t1", "r2"), entry("t4", "r2"))
+    write(folder, "n2", entry("t1", "r2"), entry("t4", "r2"), entry("t5", "r2"))
     write(folder, "n3", entry("t9", "r3"))  # far smaller than the active set
     write(folder, "n4", entry("t1", "r4", sourceMode="append"))
     os.utime(folder / "n2.ndjson.ready", (1_700_000_000, 1_700_000_000))
