@@ -43,8 +43,10 @@ SELECT r.source_code, 'raw-' || cast(l.l_orderkey AS string) AS raw_index_id, r.
 FROM (SELECT *, l_orderkey % (SELECT max(record_no) + 1 FROM {source_records}) AS owner, 'pkg-' || cast(CASE WHEN l_partkey % 10 = 0 THEN 0 ELSE l_partkey END AS string) AS package FROM {lineitem}) l JOIN {v_records} r ON l.owner = r.record_no""",
     "v_severity": """
 SELECT r.source_code, 'raw-' || cast(l.l_orderkey AS string) AS raw_index_id, r.vulnerability_key, r.source_record_id, 'cvss' AS scoring_system,
-  CASE WHEN l.l_linenumber % 3 = 0 THEN '2.0' ELSE '3.1' END AS scoring_version,
-  CASE WHEN l.l_partkey % 4 = 0 THEN NULL ELSE 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:' || CASE WHEN l.l_partkey % 2 = 0 THEN 'H' ELSE 'N' END END AS vector_string,
+  CASE l.l_linenumber % 3 WHEN 0 THEN '2.0' WHEN 1 THEN '3.0' ELSE '3.1' END AS scoring_version,
+  CASE WHEN l.l_partkey % 4 = 0 THEN NULL WHEN l.l_linenumber % 3 = 0 THEN 'AV:N/AC:L/Au:N/C:P/I:P/A:' || CASE WHEN l.l_partkey % 2 = 0 THEN 'P' ELSE 'N' END
+    WHEN l.l_linenumber % 3 = 1 THEN 'CVSS:3.0/AV:N/AC:L/PR:N/UI:R/S:U/C:H/I:H/A:' || CASE WHEN l.l_partkey % 2 = 0 THEN 'H' ELSE 'N' END
+    ELSE 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:' || CASE WHEN l.l_partkey % 2 = 0 THEN 'H' ELSE 'N' END END AS vector_string,
   CASE WHEN l.l_suppkey % 9 = 0 THEN NULL ELSE cast(l.l_partkey % 101 AS double) / 10 END AS score,
   CASE WHEN l.l_suppkey % 9 = 0 OR l.l_partkey % 11 = 0 THEN NULL WHEN l.l_partkey % 101 >= 90 THEN 'CRITICAL' WHEN l.l_partkey % 101 >= 70 THEN 'HIGH' ELSE 'MEDIUM' END AS severity_label,
   l.l_linenumber AS line

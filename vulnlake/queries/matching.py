@@ -24,6 +24,12 @@ def _best(spark: SparkSession, d: str) -> DataFrame:
     return B.best_matches(B.evaluate_matches(_candidates(spark, d)))
 
 
+def _ordered(spark: SparkSession, d: str, version: str, bounds: str, ecosystem: str) -> DataFrame:
+    """Versions made from the facts, against one bound of their ecosystem."""
+    made = view(spark, d, "v_facts").withColumns({"version": F.expr(version), "bounds": F.lit(bounds), "eco": F.lit(ecosystem)})
+    return with_version_match(made, "version", "bounds", "eco").select("raw_index_id", "line", "version_matched")
+
+
 CANDIDATE = ["sbom_id", "component_id", "vulnerability_id", "match_basis", "normalized_range"]
 QUERIES = {
     "j10_candidate_matches": lambda s, d: _candidates(s, d).select(*CANDIDATE),
@@ -37,6 +43,9 @@ QUERIES = {
     "t06_findings": lambda s, d: B.findings(_candidates(s, d).select("sbom_id", "component_id", "vulnerability_id").distinct(), _catalog(s, d)[0], "S-1", 500).select("component_id", "primary_identifier", "max_cvss_score"),
     "s17_export_rows": lambda s, d: B.export_rows(view(s, d, "v_components"), _best(s, d), _catalog(s, d)[0], view(s, d, "v_weaknesses"), view(s, d, "v_references")),
     "f20_version_matches": lambda s, d: with_version_match(view(s, d, "v_facts").withColumn("version", F.expr("cast(line as string) || '.2'")), "version", "version_range_raw", "ecosystem").select("raw_index_id", "line", "version_matched"),
+    "f22_debian_order": lambda s, d: _ordered(s, d, "cast(line % 2 as string) || ':' || cast(line as string) || '.0-' || cast(length(raw_index_id) as string)", "< 1:4.0-9", "debian:12"),
+    "f23_rpm_order": lambda s, d: _ordered(s, d, "cast(line as string) || CASE WHEN line % 2 = 0 THEN '.0~rc1-1' ELSE '.0-' || cast(length(raw_index_id) as string) END || '.el9'", "< 4.0-9.el9", "rpm"),
+    "f24_apk_order": lambda s, d: _ordered(s, d, "cast(line as string) || '.2-r' || cast(length(raw_index_id) as string)", "< 4.2-r9", "alpine:3.20"),
     "f26_commit_like": lambda s, d: view(s, d, "v_records").select("record_no", is_commit_like_column(F.substring("record_hash", 1, 12)).alias("is_commit")),
     "f01_normalize": lambda s, d: view(s, d, "source_records").select("record_no", I.normalize(F.col("vulnerability_key")).alias("norm"), I.is_cve(F.col("vulnerability_key")).alias("is_cve")),
     "f02_valid_identifiers": lambda s, d: view(s, d, "source_record_identifiers").select("identifier", I.is_vulnerability_id(F.col("identifier")).alias("is_valid")).distinct(),
@@ -121,7 +130,11 @@ FROM (SELECT source_code, source_record_id, upper(trim(source_record_id)) AS own
     "f08_purl_ecosystem": "SELECT DISTINCT 'pkg:deb/debian/' || package_name || '@1?arch=a&distro=debian-12' AS purl, 'debian:12' AS eco FROM {v_facts}",
     "f11_to_purl": """SELECT DISTINCT ecosystem, package_name, CASE WHEN package_name = '' THEN NULL WHEN ecosystem = 'npm' THEN 'pkg:npm/' || package_name WHEN ecosystem = 'pypi' THEN 'pkg:pypi/' || lower(package_name) END AS purl FROM {v_facts}""",
     "f15_parse_cpe": "SELECT DISTINCT cpe23_uri, split_part(cpe23_uri, ':', 4) AS vendor, split_part(cpe23_uri, ':', 5) AS product FROM {v_facts}",
-    "f30_cvss_scores": "SELECT DISTINCT vector_string, scoring_version, CASE WHEN vector_string LIKE '%A:H' AND vector_string LIKE '%I:H/A:H' THEN 9.8 WHEN vector_string IS NOT NULL THEN 9.1 END::DOUBLE AS base_score FROM {v_severity}",
+    "f30_cvss_scores": """SELECT DISTINCT vector_string, scoring_version, CASE WHEN vector_string LIKE 'AV:%/A:P' THEN 7.5 WHEN vector_string LIKE 'AV:%/A:N' THEN 6.4 WHEN vector_string LIKE '%UI:R%/A:H' THEN 8.8
+  WHEN vector_string LIKE '%UI:R%/A:N' THEN 8.1 WHEN vector_string LIKE '%/A:H' THEN 9.8 WHEN vector_string LIKE '%/A:N' THEN 9.1 END::DOUBLE AS base_score FROM {v_severity}""",
+    "f22_debian_order": """SELECT raw_index_id, line, (line % 2, line, length(raw_index_id)) < (1, 4, 9) AS version_matched FROM {v_facts}""",
+    "f23_rpm_order": "SELECT raw_index_id, line, CASE WHEN line % 2 = 0 THEN line <= 4 ELSE line < 4 OR (line = 4 AND length(raw_index_id) < 9) END AS version_matched FROM {v_facts}",
+    "f24_apk_order": "SELECT raw_index_id, line, (line, length(raw_index_id)) < (4, 9) AS version_matched FROM {v_facts}",
     "f31_severity_from_score": """SELECT DISTINCT score, scoring_version, CASE WHEN score IS NULL THEN NULL WHEN scoring_version LIKE '2%' THEN CASE WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM' ELSE 'LOW' END
   WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'NONE' END AS label FROM {v_severity}""",
     "f36_extract_cves": "SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([upper(x) for x in regexp_extract_all(text, '(?i)\\bCVE-[0-9]{4}-[0-9]{4,}\\b')])), ','), '') AS cves FROM {documents}",
