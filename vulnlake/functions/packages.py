@@ -202,3 +202,8 @@ def ecosystem_matches(column: Column, wanted: str | None) -> Column:
     if want in ("cargo", "crates.io"):
         return have.isin("cargo", "crates.io")
     return (have == want) | (have.startswith(f"{want}:") if ":" not in want else F.lit(False))
+
+
+def purl_label(purl: Column) -> Column:
+    """The first eighty characters of a package url, empty without one."""
+    return F.substring(F.coalesce(purl, F.lit("")), 1, 80)

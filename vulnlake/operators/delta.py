@@ -26,6 +26,14 @@ def replace_by_keys(current: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return current.join(touched, keys, "left_anti").unionByName(incoming.select(*current.columns))
 
 
+def insert_missing(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Incoming rows whose key is not there yet added, one per key (the least by
+    values); rows with a null in the key are never added."""
+    known = incoming.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    one = known.groupBy(*keys).agg(F.min(F.struct(*(c for c in known.columns if c not in keys))).alias("__r")).select(*keys, "__r.*")
+    return current.unionByName(one.join(current.select(*keys), keys, "left_anti").select(*current.columns))
+
+
 def reset_source(current: DataFrame, source: str, incoming: DataFrame | None = None) -> DataFrame:
     """M3: rows of a source dropped, then the new ones appended."""
     kept = current.where(~F.col("source_code").eqNullSafe(F.lit(source)))

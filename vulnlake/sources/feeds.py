@@ -1,4 +1,4 @@
-"""Feed formats: S4, S5, S7-S11, S14, S15, N22, N23, N25, N31, N34-N36, N38, X6; of N37 the ExploitDB rows."""
+"""Feed formats: S4-S11, S13-S15, N22, N23, N25, N31, N34-N36, N38, X6; of N37 the ExploitDB rows (others in ``exploit_feeds``)."""
 
 from __future__ import annotations
 
@@ -272,3 +272,9 @@ def explode_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     """Package -> list of advisories as one row per pair, with place."""
     packages = pages.select(F.explode(F.from_json(body, "map<string,array<map<string,string>>>")).alias("package_name", "advisories"))
     return packages.select("package_name", F.posexplode("advisories").alias("place", "advisory"))
+
+
+def write_quoted_csv(df: DataFrame, folder: str) -> None:
+    """Rows as CSV with a header, every value quoted and quotes doubled; null is
+    the empty text."""
+    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns)).write.options(header=True, quoteAll=True, escape='"', emptyValue="").csv(folder)
