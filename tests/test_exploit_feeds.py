@@ -1,8 +1,12 @@
 import json
+import zipfile
+
+import pytest
 
 from vulnlake.operators import delta, sbom
 from vulnlake.sources import exploit_feeds as E
-from vulnlake.sources import feeds
+from vulnlake.sources import feeds, registry
+from vulnlake.streaming.drain import next_index_batch
 
 
 def files(spark, *rows):
@@ -54,3 +58,52 @@ def test_quoted_csv(spark, tmp_path):
     feeds.write_quoted_csv(df.coalesce(1), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert text == '"t","n","e"\n"a ""b"", c\nd","1",""\n'
+
+
+def test_archives_are_read_in_stretches(spark, tmp_path):
+    for name, n in (("a", 10), ("b", 0)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.mkdir("d")
+            for k in range(n):
+                z.writestr(f"d/X-{k:02d}.json", f"{{{k}}}")
+            z.writestr("note.txt", "no")
+    rows = feeds.read_archives(spark, str(tmp_path / "*.zip"), task_entries=3)
+    assert sorted((r["place"], r["entry"], r["body"]) for r in rows.collect()) == [(k, f"d/X-{k:02d}.json", f"{{{k}}}") for k in range(10)]
+    assert rows.rdd.getNumPartitions() >= 4
+    assert sorted(r["place"] for r in feeds.read_archives(spark, str(tmp_path / "a.zip"), start=7, task_entries=4).collect()) == [7, 8, 9]
+    assert sorted(r["place"] for r in feeds.read_archives(spark, str(tmp_path / "a.zip"), ids=["X-01", "X-09", "Y"]).collect()) == [1, 9]
+    marks = feeds.changed_archives(spark, str(tmp_path / "*.zip"), {})
+    assert len(marks) == 2 and feeds.changed_archives(spark, str(tmp_path / "*.zip"), marks) == {}
+
+
+def test_samples(spark):
+    rows = spark.createDataFrame([("a", 1, [1]), ("a", 2, [1, 2]), ("b", 3, []), ("a", 4, [3, 4])], "c string, n int, items array<int>")
+    assert sorted((r["category"], r["n_records"], r["n"]) for r in feeds.boundary_samples(rows, rows["c"], ["n"]).collect()) == [("a", 3, 1), ("b", 1, 3)]
+    from pyspark.sql import functions as F
+
+    assert sorted((r["category"], r["most"], r["n"]) for r in feeds.largest_samples(rows, rows["c"], F.size("items"), ["n"]).collect()) == [("a", 2, 2), ("b", 0, 3)]
+
+
+def test_index_batches_resume_and_begin_anew(spark):
+    index = spark.createDataFrame([(f"t{n // 2}", f"i{n}") for n in range(9)], "modified_at string, id string")
+    take = lambda df, pending: (lambda rows, state: ([r["id"] for r in rows.collect()], state))(*next_index_batch(df, "t1", ["i2"], 3, pending))
+    first, state = take(index, None)
+    second, last = take(index, state)
+    assert (first, second, last) == (["i3", "i4", "i5"], ["i6", "i7", "i8"], None)
+    more = index.union(spark.createDataFrame([("t9", "new")], index.schema))
+    assert take(more, state)[0] == first
+    with pytest.raises(ValueError):
+        next_index_batch(index, None, [], 3)
+
+
+def test_sources_wait_for_their_baseline(spark, tmp_path):
+    known = registry.Registry()
+    known.add(registry.Source("x", lambda s, state: s.range(3), baseline="x-init"))
+    known.add(registry.Source("y", lambda s, state: s.range(1)))
+    assert known.run_cycle(spark, {})["x"]["status"] == "waiting" and known.run_cycle(spark, {"x-init": {"status": "ok"}})["x"]["records"] == 3
+    for code in ("x", "y", "z"):
+        (tmp_path / "mirrors" / code).mkdir(parents=True)
+    (tmp_path / "spool").mkdir()
+    (tmp_path / "spool" / "y-run-s0001.ndjson.ready").write_text("")
+    assert registry.clear_mirrors(spark, str(tmp_path / "mirrors"), str(tmp_path / "spool"), ["x", "y"]) == ["x"]
+    assert sorted(p.name for p in (tmp_path / "mirrors").iterdir()) == ["y", "z"]

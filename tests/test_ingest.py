@@ -96,6 +96,7 @@ def test_spool_files(spark, tmp_path):
     accepted, refused = files.finish(judged)
     assert sorted(refused) == ["bad.ndjson.ready", "mixed.ndjson.ready"] and sorted(accepted) == names
     assert sorted(files.names(FAILED)) == ["bad.ndjson.failed", "mixed.ndjson.failed"]
+    assert files.queue_sizes() == {"ready": 1, "processing": 0, "staged": 3, "failed": 2, "partial": 0}
     assert len(files.names(STAGED)) == 3 and files.finish(judged)[0] == accepted and files.clear_staged() == 3
     (tmp_path / f"again{PROCESSING}").write_text(osv("OSV-1-1"))
     assert files.recover() == ["again.ndjson.ready"]

@@ -25,6 +25,8 @@ def _stale_owners(owners):
     return owners.withColumn("vulnerability_key", F.when(old, F.concat(F.lit("OLD-"), "vulnerability_key")).otherwise(F.col("vulnerability_key")))
 
 
+#: What is counted beside the two projections.
+COUNTED = ["source_records", "source_record_identifiers", "exploits", "evidence_records", "documents", "v_relations", "v_facts", "v_severity", "v_references", "v_weaknesses", "v_threat"]
 FACT_COLUMNS = ["vulnerability_key", "source_code", "package_name", "raw_index_id", "line", "rn"]
 QUERIES = {
     "w03_top_facts": lambda s, d: E.top_facts(view(s, d, "v_facts"), 3).select(*FACT_COLUMNS),
@@ -49,7 +51,7 @@ QUERIES = {
     "a13_ecosystem_coverage": lambda s, d: Q.ecosystem_coverage(view(s, d, "v_facts")),
     "a15_multi_owner_identifiers": lambda s, d: Q.multi_owner_identifiers(view(s, d, "v_identifiers_shared")),
     "a16_snapshot_stats": lambda s, d: Q.snapshot_stats(view(s, d, "exploits")),
-    "a19_table_counts": lambda s, d: Q.table_counts({n: view(s, d, n) for n in ("source_records", "source_record_identifiers", "exploits", "evidence_records", "documents")}),
+    "a19_table_counts": lambda s, d: Q.table_counts({n: view(s, d, n) for n in COUNTED} | dict(zip(("vulnerabilities", "affected_components"), _catalog(s, d)))),
     "a20_audit_catalog": lambda s, d: Q.audit_catalog(_catalog(s, d)[0]),
     "a21_audit_relations": lambda s, d: Q.audit_relations(view(s, d, "v_relations")),
     "a22_severity_distribution": lambda s, d: Q.severity_distribution(_catalog(s, d)[0]),
@@ -107,7 +109,7 @@ SELECT DISTINCT * FROM (SELECT vulnerability_key, 'out' AS direction, relation_t
     "a13_ecosystem_coverage": "SELECT ecosystem, count(*) AS facts, cast(count_if(vulnerable) AS BIGINT) AS vulnerable_facts, cast(count_if(coalesce(version_range_raw, '') <> '') AS BIGINT) AS ranged_facts FROM {v_facts} GROUP BY 1",
     "a15_multi_owner_identifiers": "SELECT identifier, count(DISTINCT vulnerability_key) AS owners FROM {v_identifiers_shared} GROUP BY 1 HAVING count(DISTINCT vulnerability_key) > 1",
     "a16_snapshot_stats": "SELECT source_code, count(*) AS active, count(DISTINCT raw_index_id) AS raw_ids FROM {exploits} WHERE coalesce(is_active, true) GROUP BY 1",
-    "a19_table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ("source_records", "source_record_identifiers", "exploits", "evidence_records", "documents")),
+    "a19_table_counts": " UNION ALL ".join([*(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {{{n}}}" for n in COUNTED), f"SELECT 'vulnerabilities', count(*) FROM ({CATALOG})", f"SELECT 'affected_components', count(*) FROM ({COMPONENTS})"]),
     "a20_audit_catalog": f"SELECT count(*) AS n_rows, cast({BLANK('title')} AS BIGINT) AS blank_titles, cast({BLANK('description')} AS BIGINT) AS blank_descriptions, cast(count_if(affected_component_count = 0) AS BIGINT) AS without_components FROM ({CATALOG})",
     "a21_audit_relations": "SELECT count(*) AS n_rows, cast(count_if(vulnerability_key = related_identifier) AS BIGINT) AS self_relations, count(*) - count(DISTINCT concat_ws('|', source_code, source_record_id, relation_type, related_identifier)) AS repeats, cast(count_if(trim(related_identifier) = '') AS BIGINT) AS blanks FROM {v_relations}",
     "a22_severity_distribution": f"SELECT coalesce(severity_label, 'UNRATED') AS severity, count(*) AS n_rows FROM ({CATALOG}) GROUP BY 1",

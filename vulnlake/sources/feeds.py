@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import tarfile
 import zipfile
@@ -49,31 +48,82 @@ def content_changed(spark: SparkSession, path: str, known_hash: str | None) -> t
 _ENTRY = "archive string, entry string, place long, body string"
 
 
-def read_archives(spark: SparkSession, path: str, suffix: str = ".json", prefix: str = "", start: int = 0) -> DataFrame:
-    """Text entries of ZIP and TAR archives, one row each, by name
-    prefix and from a resume place on; entries are read one after the other."""
+#: Entries of an archive that one task reads.
+TASK_ENTRIES = 2000
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                for place, (entry, body) in enumerate(_open(name, content)):
-                    if place >= start and entry.endswith(suffix) and entry.rsplit("/", 1)[-1].startswith(prefix):
-                        yield pd.DataFrame({"archive": [name], "entry": [entry], "place": [place], "body": [body().decode("utf-8", "replace")]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, _ENTRY)
+def read_archives(
+    spark: SparkSession, path: str, suffix: str = ".json", prefix: str = "", start: int = 0, ids: list[str] | None = None, task_entries: int = TASK_ENTRIES
+) -> DataFrame:
+    """Text entries of ZIP and TAR archives, one row each, by name
+    prefix or by a list of names, and from a resume place on.
+
+    A ZIP archive is read by as many tasks as it has stretches of entries: each
+    finds its own by the directory at the archive's end, so neither the size of an
+    archive nor that of a task grows with the other. A TAR archive has no
+    directory and is one task, which reads it as a stream.
+    """
+    wanted = None if ids is None else frozenset(ids)
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "n": [_zip_size(p) if p.endswith(".zip") else 1 for p in batch["path"]]})
 
-def _open(name: str, content: bytes) -> Iterator[tuple]:
-    if name.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            for info in archive.infolist():
-                if not info.is_dir():
-                    yield info.filename, lambda i=info: archive.read(i)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-            for info in archive:
-                if info.isfile():
-                    yield info.name, lambda i=info: archive.extractfile(i).read()
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, low, high in zip(batch["path"], batch["low"], batch["high"]):
+                rows: list[tuple] = []
+                for place, entry, body in _entries(name, max(low, start), high):
+                    base = entry.rsplit("/", 1)[-1]
+                    if entry.endswith(suffix) and base.startswith(prefix) and (wanted is None or base.removesuffix(suffix) in wanted):
+                        rows.append((name, entry, place, body().decode("utf-8", "replace")))
+                    if len(rows) >= 200:
+                        yield pd.DataFrame(rows, columns=["archive", "entry", "place", "body"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["archive", "entry", "place", "body"])
+
+    found = spark.read.format("binaryFile").load(path).select("path").mapInPandas(count, "path string, n long")
+    sizes = [(r["path"], r["n"]) for r in found.toLocalIterator()]  # one row per archive
+    stretches = [(p, low, low + task_entries) if p.endswith(".zip") else (p, 0, 1 << 62) for p, n in sizes for low in range(0, max(1, n), task_entries if p.endswith(".zip") else max(1, n))]
+    if not stretches:
+        return spark.createDataFrame([], _ENTRY)
+    tasks = spark.createDataFrame([(n, *s) for n, s in enumerate(stretches)], "task long, path string, low long, high long")
+    return tasks.repartitionByRange(len(stretches), "task").select("path", "low", "high").mapInPandas(read, _ENTRY)
+
+
+def _opened(path: str):
+    """A file of any file system that can seek in it."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return system.open_input_file(place)
+
+
+def _zip_size(path: str) -> int:
+    with _opened(path) as file, zipfile.ZipFile(file) as archive:
+        return sum(not info.is_dir() for info in archive.infolist())
+
+
+def _entries(path: str, low: int, high: int) -> Iterator[tuple]:
+    """``place, name, reader`` of the files in an archive from one place up to another."""
+    with _opened(path) as file:
+        if path.endswith(".zip"):
+            with zipfile.ZipFile(file) as archive:
+                infos = [info for info in archive.infolist() if not info.is_dir()]
+                for place in range(low, min(high, len(infos))):
+                    yield place, infos[place].filename, lambda i=infos[place]: archive.read(i)
+        else:
+            with tarfile.open(fileobj=file, mode="r:*") as archive:
+                for place, info in enumerate(i for i in archive if i.isfile()):
+                    if low <= place < high:
+                        yield place, info.name, lambda i=info: archive.extractfile(i).read()
+
+
+def changed_archives(spark: SparkSession, path: str, known: dict[str, str]) -> dict[str, str]:
+    """Archives whose length or time of change differs from a checkpoint's, with
+    their marks now; nothing of their content is read."""
+    rows = spark.read.format("binaryFile").load(path).select("path", F.concat_ws(":", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")).alias("mark"))
+    return {r["path"]: r["mark"] for r in rows.toLocalIterator() if known.get(r["path"]) != r["mark"]}  # one row per archive
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -211,8 +261,15 @@ def exploit_rows(rows: DataFrame) -> DataFrame:
 
 
 def boundary_samples(records: DataFrame, category: Column, order: list[str]) -> DataFrame:
-    """The first record of each category."""
-    return records.groupBy(category.alias("category")).agg(F.min_by(F.struct(*records.columns), F.struct(*order)).alias("r")).select("category", "r.*")
+    """The first record of each category, with how many it has."""
+    one = records.groupBy(category.alias("category")).agg(F.min_by(F.struct(*records.columns), F.struct(*order)).alias("r"), F.count("*").alias("n_records"))
+    return one.select("category", "n_records", "r.*")
+
+
+def largest_samples(records: DataFrame, category: Column, size: Column, order: list[str]) -> DataFrame:
+    """The record of each category with the most items (``size``), first by order."""
+    ranked = F.struct((-size).alias("size"), *order)
+    return records.groupBy(category.alias("category")).agg(F.min_by(F.struct(*records.columns), ranked).alias("r"), F.max(size).alias("most")).select("category", "most", "r.*")
 
 
 def missing_ids(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:

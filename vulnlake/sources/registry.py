@@ -1,4 +1,4 @@
-"""Sources and paged scans: S12, S19, X3-X8, X11, X12.
+"""Sources and paged scans: S12, S19, X11, X12, X14.
 
 Network readers are interfaces here: a page function gives the records of a
 page, and tests use one over local files.
@@ -21,11 +21,13 @@ MAX_WINDOW_DAYS = 120
 
 @dataclass(frozen=True)
 class Source:
-    """A registered source; ``mode`` is scheduled, init or manual."""
+    """A registered source; ``mode`` is scheduled, init or manual. ``baseline``
+    names the initial load without which a scheduled source does not run."""
 
     code: str
     run: Callable[[SparkSession, dict], DataFrame]
     mode: str = "scheduled"
+    baseline: str | None = None
 
 
 class Registry:
@@ -43,9 +45,13 @@ class Registry:
         return [s for s in self._sources.values() if s.mode == "scheduled"]
 
     def run_cycle(self, spark: SparkSession, states: dict[str, dict]) -> dict[str, dict]:
-        """X11: each scheduled source in turn; one that fails does not stop the others."""
+        """X11: each scheduled source in turn; one that fails does not stop the others, and
+        one whose baseline is not complete waits for it."""
         out = {}
         for source in self.scheduled():
+            if source.baseline and states.get(source.baseline, {}).get("status") != "ok":
+                out[source.code] = {"status": "waiting", "error": f"baseline {source.baseline} is not complete"}
+                continue
             try:
                 rows = source.run(spark, states.get(source.code, {}))
                 out[source.code] = {"status": "ok", "records": rows.count()}
@@ -92,15 +98,24 @@ class PagedFeed(DataSource):
         return _PageStream(self.options)
 
 
+def _folder(path: str):
+    """The file system of a folder, and the folder's place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def _pages(path: str) -> list[str]:
-    import os
+    from pyarrow.fs import FileSelector
 
-    return sorted(n for n in os.listdir(path) if n.startswith("page-"))
+    system, place = _folder(path)
+    return sorted(f.base_name for f in system.get_file_info(FileSelector(place)) if f.base_name.startswith("page-"))
 
 
 def _rows(path: str, number: int, name: str) -> Iterator[tuple]:
-    with open(f"{path}/{name}", encoding="utf-8") as file:
-        for place, item in enumerate(json.load(file)):
+    system, folder = _folder(path)
+    with system.open_input_stream(f"{folder.rstrip('/')}/{name}") as file:
+        for place, item in enumerate(json.loads(file.read())):
             yield number, place, json.dumps(item)
 
 
@@ -140,3 +155,18 @@ def source_status(spark: SparkSession, folder: str, codes: list[str]) -> DataFra
     known = state.select("source_code", status.alias("status"))
     wanted = spark.createDataFrame([(c,) for c in codes], "source_code string")
     return wanted.join(known, "source_code", "left").fillna({"status": "never-run"})
+
+
+def clear_mirrors(spark: SparkSession, mirrors: str, spool: str, complete: list[str]) -> list[str]:
+    """Deletes the mirrors (``mirrors/<code>``) of sources whose baseline is complete
+    and of which no spool file waits; gives their codes."""
+    from vulnlake.sources.spool import PROCESSING, READY, SpoolFiles
+
+    files = SpoolFiles(spark, spool)
+    waiting = files.names(READY) + files.names(PROCESSING)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(mirrors).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [c for c in complete if fs.exists(path(f"{mirrors}/{c}")) and not any(n.startswith(f"{c}-") for n in waiting)]
+    for code in gone:
+        fs.delete(path(f"{mirrors}/{code}"), True)
+    return gone

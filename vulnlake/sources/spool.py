@@ -80,6 +80,10 @@ class SpoolFiles:
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
         return sorted((n for n in found if n.endswith(state)), key=lambda n: (n.split("-s")[0], len(n), n))
 
+    def queue_sizes(self) -> dict[str, int]:
+        """Files by state."""
+        return {state.removeprefix(".ndjson."): len(self.names(state)) for state in (READY, PROCESSING, STAGED, FAILED, PARTIAL)}
+
     def move(self, name: str, before: str, after: str) -> str:
         moved = name.removesuffix(before) + after
         if not self._fs.rename(self._path(f"{self.folder}/{name}"), self._path(f"{self.folder}/{moved}")):

@@ -238,6 +238,24 @@ def next_cursor(taken: DataFrame, modified_at: str, ids: list[str], stamp: str =
     return last, sorted({*at, *ids}) if last == modified_at else at
 
 
+def next_index_batch(
+    index: DataFrame, modified_at: str | None, ids: list[str], size: int, pending: dict | None = None, stamp: str = "modified_at", key: str = "id"
+) -> tuple[DataFrame, dict | None]:
+    """The next ``size`` rows after the cursor, oldest first, and where to go on
+    (None after the last).
+
+    ``pending`` is what the call before gave. An index that has changed since
+    (told by a digest of its rows after the cursor) is begun anew.
+    """
+    fresh = after_cursor(index, modified_at, ids, stamp, key).select(*index.columns)
+    row = F.xxhash64(F.col(stamp), F.col(key))
+    mark = fresh.agg(F.count("*").alias("n"), F.bit_xor(row).alias("x")).first()
+    digest = f"{mark['n']}:{mark['x']}"
+    offset = pending["offset"] if pending and pending["digest"] == digest else 0
+    rows = fresh.orderBy(stamp, key).offset(offset).limit(size)
+    return rows, {"digest": digest, "offset": offset + size} if offset + size < mark["n"] else None
+
+
 def is_reverse_chronological(index: DataFrame, place: str, stamp: str = "modified_at") -> bool:
     """Whether times never grow along the index.
 
