@@ -171,3 +171,16 @@ def detail(tables: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
     if "exploits" in tables:
         out["exploits"] = exploits_of(tables["exploits"], key).orderBy("source_code", "exploit_row").limit(DETAIL_CAPS["exploits"])
     return out
+
+
+def projection_state(records: DataFrame, facts: DataFrame, source: str) -> tuple[DataFrame, bool]:
+    """Distinct keys of a source, and whether it has affected facts: what a reset
+    of the source has to rebuild."""
+    mine = lambda df: df.where(F.lower("source_code") == source.lower())
+    return mine(records).select("vulnerability_key").distinct(), not mine(facts).isEmpty()
+
+
+def affected_keys(facts: DataFrame, raw_ids: DataFrame | None = None) -> DataFrame:
+    """Distinct keys of all facts, or of those with given raw ids."""
+    kept = facts if raw_ids is None else facts.join(raw_ids.select("raw_index_id"), "raw_index_id", "left_semi")
+    return kept.select("vulnerability_key").distinct()

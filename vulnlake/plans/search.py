@@ -42,6 +42,24 @@ def like_pattern(query: str) -> str:
     return "%" + query.lower().replace("\\", "\\\\") + "%"
 
 
+def key_list(keys: list[str | None]) -> list[str]:
+    """Keys normalised, without blanks and repeats, in order."""
+    found = (k.strip().upper() for k in keys if k is not None)
+    return list(dict.fromkeys(k for k in found if k))
+
+
+def equals_or_in(column: str, values: list[str | None]) -> Column:
+    """A column among values: never for no value, equal to the one, in the list."""
+    known = list(dict.fromkeys(v for v in values if v is not None))
+    return F.lit(False) if not known else F.col(column) == known[0] if len(known) == 1 else F.col(column).isin(*known)
+
+
+def rows_of_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """P8 for key lists of any length: a semi join on normalised keys."""
+    wanted = keys.select(F.upper(F.trim(F.col(keys.columns[0]))).alias("__k")).where("__k <> ''").distinct()
+    return df.join(wanted, F.upper(F.trim(F.col(column))) == F.col("__k"), "left_semi")
+
+
 def year_range(year: int) -> Column:
     """CVE ids of a year as a half-open range, which reaches the scan."""
     return (F.col("primary_identifier") >= f"CVE-{year:04d}") & (F.col("primary_identifier") < f"CVE-{year + 1:04d}")

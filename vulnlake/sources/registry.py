@@ -1,4 +1,4 @@
-"""Sources and paged scans: S12, S19, X11, X12, X14.
+"""Sources and paged scans: S12, S19, X8, X11-X14.
 
 Network readers are interfaces here: a page function gives the records of a
 page, and tests use one over local files.
@@ -60,6 +60,30 @@ class Registry:
         return out
 
 
+def resume_offset(checkpoint: dict | None, identity: dict) -> int:
+    """Where an initial load goes on: the saved offset, if it was saved for the same
+    input (all fields of ``identity`` equal), else the begin."""
+    saved = (checkpoint or {}).get("progress") or {}
+    same = all(saved.get("identity", {}).get(k) == v for k, v in identity.items())
+    offset = saved.get("offset", 0)
+    return offset if same and isinstance(offset, int) and offset > 0 else 0
+
+
+def with_progress(checkpoint: dict | None, identity: dict, offset: int) -> dict:
+    """A checkpoint after a committed part of an initial load."""
+    return (checkpoint or {}) | {"progress": {"identity": identity, "offset": offset}}
+
+
+def agreed_records(checkpoint: dict, snapshot_id: str) -> int:
+    """How many records a full snapshot must have; ValueError unless the
+    checkpoint has completed this very revision."""
+    count = checkpoint.get("recordCount")
+    whole = checkpoint.get("snapshotComplete") is True and snapshot_id and checkpoint.get("gitRevision") == snapshot_id == checkpoint.get("completedGitRevision")
+    if not whole or not isinstance(count, int) or isinstance(count, bool) or count <= 0:
+        raise ValueError("the snapshot disagrees with its checkpoint")
+    return count
+
+
 def date_windows(start: date, end: date, days: int = MAX_WINDOW_DAYS) -> Iterator[tuple[date, date]]:
     """Windows of at most so many days that cover a span."""
     while start < end:
