@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from vulnlake.llm.leakage import by_join, item_report, leaked_pairs, leaks, seed_filter, tiles, words_of, _places
+from vulnlake.llm.leakage import by_join, coverable, item_report, leaked_pairs, leaks, seed_filter, tiles, words_of, _places
 from vulnlake.session import table
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, suite string, item_text string, text string"
@@ -158,3 +158,19 @@ def test_report_equals_plain_tiling(spark):
         got = {r["item_id"]: (r["n_documents"], r["best_coverage"]) for r in item_report(d, i).collect()}
     assert got == {n: (len(hits), round(max(hits.values(), default=0.0), 6)) for n, hits in want.items()}
     assert any(hits for hits in want.values())
+
+
+def test_nothing_that_reaches_the_share_is_left_out(spark, sf):
+    d, i = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    reach = lambda df: sorted(tuple(r) for r in df.where("covered / item_words >= 0.5").collect())
+    every = leaks(d, i, 5)
+    for found in (leaks(d, i, 5, cover=0.5), leaks(d, i, 5, max_item_chars=0, cover=0.5)):
+        assert reach(found) == reach(every) and found.count() < every.count()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_no_tiling_covers_more_than_is_coverable(seed):
+    rng = random.Random(seed)
+    a, b = (np.array([rng.randrange(1, 4) for _ in range(rng.randrange(3, 30))], np.uint64) for _ in "ab")
+    least = rng.choice([1, 2, 3])
+    assert sum(m[2] for m in tiles(a, b, least)) <= coverable(a, b, min(least, len(a)))

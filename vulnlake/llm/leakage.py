@@ -198,7 +198,19 @@ _LEAK = T.StructType(
 )
 
 
-def _row(doc: int, item: int, words: np.ndarray, document: np.ndarray, min_words: int) -> tuple | None:
+def coverable(item: np.ndarray, document: np.ndarray, size: int) -> int:
+    """Words of an item that lie in some window of ``size`` words the document has too:
+    no tiling with tiles of at least that size can cover more."""
+    starts = np.flatnonzero(np.isin(window_hashes(item, size), window_hashes(document, size)))
+    marks = np.zeros(len(item) + 1, dtype=np.int64)
+    marks[starts] += 1
+    marks[starts + size] -= 1
+    return int(np.count_nonzero(np.cumsum(marks)[:-1] > 0))
+
+
+def _row(doc: int, item: int, words: np.ndarray, document: np.ndarray, min_words: int, cover: float) -> tuple | None:
+    if cover and coverable(words, document, min(min_words, len(words))) / len(words) < cover:
+        return None
     found = tiles(words, document, min_words)
     if not found:
         return None
@@ -209,20 +221,22 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in _LEAK.fields]).astype("int64")
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_item_chars: int = MAX_ITEM_CHARS, cover: float = 0.0) -> DataFrame:
     """Documents with passages of evaluation items, one row per pair.
 
     ``documents(doc_id, text)``, ``items(item_id, item_text)``. Gives ``doc_id,
     item_id, n_tiles, longest, covered, item_words`` for every pair with a common
     run of ``min_words`` words (all words of a shorter item). Null, empty and
     wordless texts take no part; repeated rows give repeated rows; other columns
-    are not carried. Whole texts are scanned.
+    are not carried. Whole texts are scanned. With ``cover`` pairs that cannot reach
+    that share of the item are left out before they are tiled; a pair that is given
+    may still cover less.
     """
     if min_words < 1:
         raise ValueError("min_words must be positive")
     size = items.agg(F.sum(F.length("item_text")).alias("n")).first()["n"] or 0
     if size > max_item_chars:
-        return by_join(documents, items, min_words)
+        return by_join(documents, items, min_words, cover)
     rows = [(int(r["item_id"]), r["item_text"]) for r in items.where("item_id is not null").select("item_id", "item_text").toLocalIterator()]
     shared = documents.sparkSession.sparkContext.broadcast(Items.build(sorted(rows, key=lambda r: (r[0], r[1] or "")), min_words))
 
@@ -233,7 +247,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 document = known.numbered(text)
                 for n in known.candidates(document):
-                    row = _row(int(doc), known.ids[n], known.words[n], document, min_words)
+                    row = _row(int(doc), known.ids[n], known.words[n], document, min_words, cover)
                     if row:
                         out.append(row)
             yield _frame(out)
@@ -274,7 +288,7 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def by_join(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def by_join(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, cover: float = 0.0) -> DataFrame:
     """``leaks`` for items of any number: windows of documents that pass the filter meet
     the items' seeds in a shuffle join, then the texts of each pair meet and are
     tiled. A seed of many documents, and an item of many, are spread over ``SALTS``
@@ -326,7 +340,7 @@ def by_join(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS)
         for batch in batches:
             out = []
             for doc, item, text, item_text in zip(batch["doc_id"], batch["item_id"], batch["text"], batch["item_text"]):
-                row = _row(int(doc), int(item), _stable_numbers(words_of(item_text)), _stable_numbers(words_of(text)), min_words)
+                row = _row(int(doc), int(item), _stable_numbers(words_of(item_text)), _stable_numbers(words_of(text)), min_words, cover)
                 if row:
                     out.append(row)
             yield _frame(out)
@@ -344,7 +358,7 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
 def item_report(documents: DataFrame, items: DataFrame, min_tile: int = 5, coverage: float = 0.5) -> DataFrame:
     """Per item: documents that cover it to ``coverage`` with tiles of ``min_tile``
     words in any order, and the best coverage; items without any have 0."""
-    covered = leaks(documents, items, min_tile).withColumn("share", F.col("covered") / F.col("item_words"))
+    covered = leaks(documents, items, min_tile, cover=coverage).withColumn("share", F.col("covered") / F.col("item_words"))
     hits = covered.where(F.col("share") >= coverage)
     best = hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.round(F.max("share"), 6).alias("best_coverage"))
     return items.select("item_id", "suite").join(best, "item_id", "left").fillna({"n_documents": 0, "best_coverage": 0.0})
