@@ -136,14 +136,16 @@ def mismatched_owners(owners: DataFrame, vulnerabilities: DataFrame) -> DataFram
 
 
 def sbom_quality(matches: DataFrame) -> DataFrame:
-    """Findings per ecosystem by outcome, with the share that has a usable range."""
+    """Findings per ecosystem by outcome, with the share that has a usable range.
+    A row stands for ``n`` matches of its component."""
     eco = F.coalesce(F.lower("a_ecosystem"), F.lit("unknown"))
     no_range = F.coalesce(F.col("normalized_range"), F.lit("")) == ""
+    number = lambda holds: F.sum(F.when(holds, F.col("n")).otherwise(0))
     return matches.groupBy(eco.alias("ecosystem")).agg(
-        F.count("*").alias("findings"), F.count_if("version_matched").alias("affected"), F.count_if(~F.col("version_matched")).alias("not_affected"),
-        F.count_if(F.col("version_matched").isNull()).alias("unknown"), F.count_if(no_range).alias("no_range"),
+        F.sum("n").alias("findings"), number(F.col("version_matched")).alias("affected"), number(~F.col("version_matched")).alias("not_affected"),
+        number(F.col("version_matched").isNull()).alias("unknown"), number(no_range).alias("no_range"),
         F.count_distinct("component_id").alias("components_with_findings"),
-        F.bround((F.count("*") - F.count_if(no_range)) / F.count("*"), 4).alias("actionable_range_ratio"),
+        F.bround((F.sum("n") - number(no_range)) / F.sum("n"), 4).alias("actionable_range_ratio"),
     )
 
 

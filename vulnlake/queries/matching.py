@@ -51,7 +51,7 @@ QUERIES = {
     "d09_distinct_components": lambda s, d: B.distinct_components(view(s, d, "v_components")).select("purl", "cpe23_uri", "name", "version", "ecosystem"),
     "a17_sbom_counters": lambda s, d: B.sbom_counters(view(s, d, "v_components"), _candidates(s, d).select("sbom_id", "component_id", "vulnerability_id").distinct())[0],
     "a17_sbom_totals": lambda s, d: B.sbom_counters(view(s, d, "v_components"), _candidates(s, d))[1],
-    "a27_sbom_quality": lambda s, d: Q.sbom_quality(B.evaluate_matches(_candidates(s, d))),
+    "a27_sbom_quality": lambda s, d: Q.sbom_quality(B.counted_bills(*_bills(s, d))),
     "t06_findings": lambda s, d: B.findings(_candidates(s, d).select("sbom_id", "component_id", "vulnerability_id").distinct(), _catalog(s, d)[0], "S-1", 500).select("component_id", "primary_identifier", "max_cvss_score"),
     "s17_export_rows": lambda s, d: B.export_rows(*_bills(s, d), _scored(s, d), view(s, d, "v_weaknesses"), view(s, d, "v_references")),
     "f20_version_matches": lambda s, d: with_version_match(view(s, d, "v_facts").withColumn("version", F.expr("cast(line as string) || '.2'")), "version", "version_range_raw", "ecosystem").select("raw_index_id", "line", "version_matched"),
