@@ -21,10 +21,6 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return B.candidate_matches(view(spark, d, "v_components"), _catalog(spark, d)[1])
 
 
-def _best(spark: SparkSession, d: str) -> DataFrame:
-    return B.best_matches(B.evaluate_matches(_candidates(spark, d)))
-
-
 def _bills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Components of bills, and the affected side without the grouping that only a list of it needs."""
     keys = C.record_rollup(view(spark, d, "v_records")).select(F.col("vulnerability_id").alias("id"), F.col("vulnerability_key").alias("primary_identifier"))
@@ -47,7 +43,7 @@ QUERIES = {
     "j10_candidate_matches": lambda s, d: _candidates(s, d).select(*CANDIDATE),
     "j11_purl_matches": lambda s, d: B.purl_matches(view(s, d, "v_components").where("purl is not null"), _catalog(s, d)[1]).select(*CANDIDATE),
     "f27_evaluate_matches": lambda s, d: B.evaluate_matches(_candidates(s, d)).select(*CANDIDATE, "version_matched"),
-    "d10_best_matches": lambda s, d: _best(s, d).select("sbom_id", "component_id", "vulnerability_id", "match_id", "match_basis", "version_matched"),
+    "d10_best_matches": lambda s, d: B.best_of_bills(*_bills(s, d)).select("sbom_id", "component_id", "vulnerability_id", "match_id", "match_basis", "version_matched"),
     "d09_distinct_components": lambda s, d: B.distinct_components(view(s, d, "v_components")).select("purl", "cpe23_uri", "name", "version", "ecosystem"),
     "a17_sbom_counters": lambda s, d: B.sbom_counters(view(s, d, "v_components"), _candidates(s, d).select("sbom_id", "component_id", "vulnerability_id").distinct())[0],
     "a17_sbom_totals": lambda s, d: B.sbom_counters(view(s, d, "v_components"), _candidates(s, d))[1],
